@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe_encoding
 from .simhash import op1_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op5_bpe_encoding)}
 ORACLE_SQL: dict[str, str] = {}
