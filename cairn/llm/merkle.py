@@ -1,6 +1,6 @@
 """Merkle trees over a document's sections and paragraphs, with DataFrame functions only.
 
-A section ends with a blank line, a paragraph with its line, a sentence with its stop; all keep what ends them, so the
+A section ends with a blank line, a paragraph with its line, a clause with its mark; all keep what ends them, so the
 leaves of a tree put together are the text. A node's hash covers its children's hashes and the root that of all
 sections: equal texts have equal roots, and where two roots differ the differing branches lead to the edit.
 
@@ -21,11 +21,11 @@ from .common import table
 
 SECTION = r"(?<=\n[ \t]{0,8}\n)(?!\n)"
 PARAGRAPH = r"(?<=\n)"
-SENTENCE = r"(?<=[.!?] )"
+SENTENCE = r"(?<=[.!?,;:|] )"
 
 
 def leaves(text: Column) -> Column:
-    """array<string>: the sentences of all paragraphs in order."""
+    """array<string>: the clauses of all paragraphs in order."""
     return F.split(text, f"{PARAGRAPH}|{SENTENCE}")
 
 

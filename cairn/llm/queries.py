@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from .bpe import op5_bpe_encoding
 from .merkle import op2_merkle_fingerprints
+from .mixing import op4_mixing
 from .sharding import op6_external_shuffle
 from .simhash import op1_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_merkle_fingerprints, op5_bpe_encoding, op6_external_shuffle)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_merkle_fingerprints, op4_mixing, op5_bpe_encoding, op6_external_shuffle)}
 ORACLE_SQL: dict[str, str] = {}
