@@ -5,8 +5,9 @@ from __future__ import annotations
 from .bpe import op5_bpe_encoding
 from .merkle import op2_merkle_fingerprints
 from .mixing import op4_mixing
+from .repeats import op8_suffix_array_dedup, op10_substring_dedup
 from .sharding import op6_external_shuffle
 from .simhash import op1_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_merkle_fingerprints, op4_mixing, op5_bpe_encoding, op6_external_shuffle)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_merkle_fingerprints, op4_mixing, op5_bpe_encoding, op6_external_shuffle, op8_suffix_array_dedup, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
