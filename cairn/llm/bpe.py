@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import table
 
@@ -247,7 +248,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = [bpe.encode(x or "") for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())], names=[*batch.schema.names, "ids", "decoded"])
 
-    return docs.mapInArrow(run, docs.schema.add("ids", "array<int>").add("decoded", "string"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
 
 
 def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ from .quality import op7_perplexity_rules
 from .repeats import op8_suffix_array_dedup, op10_substring_dedup
 from .sharding import op6_external_shuffle
 from .simhash import op1_simhash_near_dedup
+from .toxicity import op9_toxicity
 from .warc import op3_warc_zstd
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_merkle_fingerprints, op3_warc_zstd, op4_mixing, op5_bpe_encoding, op6_external_shuffle, op7_perplexity_rules, op8_suffix_array_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_merkle_fingerprints, op3_warc_zstd, op4_mixing, op5_bpe_encoding, op6_external_shuffle, op7_perplexity_rules, op8_suffix_array_dedup, op9_toxicity, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
