@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import table
+from .common import Memo, table
 
 #: Words, and pieces, that a worker remembers before the older ones go; it holds twice as many at most.
 MEMORY = 200_000
@@ -43,21 +43,6 @@ Found = tuple[str, int, str]
 SPLIT_ONLY = frozenset("\x1c\x1d\x1e\x1f")
 
 
-class _Known(dict):
-    """Answers of a function in two generations; when the younger is full, the older one goes."""
-
-    def __init__(self, look, most: int):
-        self.look, self.most, self.old = look, most, {}
-
-    def __missing__(self, key: str) -> Found:
-        found = self.old.get(key) or self.look(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = found
-        return found
-
-
 class Bpe:
     def __init__(self, path: str, memory: int = MEMORY):
         import ahocorasick
@@ -97,7 +82,7 @@ class Bpe:
         self.pieces = regex.compile(pattern).findall
         self.blanks = regex.compile(r"\s+").split
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-        self.known_pieces, self.words = _Known(self.look, memory), _Known(self.word, memory)
+        self.known_pieces, self.words = Memo(self.look, memory), Memo(self.word, memory)
 
     def spine(self, token: int, right: bool) -> list[tuple[int, float]]:
         """The tokens on one border of a token from the whole down, each with the rank of the merge that ends it."""

@@ -73,3 +73,20 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
     return h
+
+
+class Memo(dict):
+    """Answers of a function in two generations; when the younger is full, the older one goes."""
+
+    def __init__(self, look, most: int):
+        self.look, self.most, self.old = look, most, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.look(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found

@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .charlm import BITS, OTHER, SIZE, Model, count, models
-from .common import table
+from .common import Memo, table
 
 SAMPLE, LEXICON = 6000, 20_000
 FOLDS = 5
@@ -117,26 +116,19 @@ def features(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in range(3, min(len(word), 9)))]
 
 
-@dataclass
 class Scorer:
-    channel: Channel
-    weights: dict[str, float]
-    fit: list[float] = field(default_factory=list)
-    known: dict[str, float] = field(default_factory=dict)
+    def __init__(self, channel: Channel, weights: dict[str, float], fit: list[float] | tuple = ()):
+        self.channel, self.weights, self.fit = channel, weights, fit
+        self.stems = {f[:3] for f in weights}
+        self.tokens = Memo(self.token, 200_000)
 
     def token(self, token: str) -> float:
-        found = self.known.get(token)
-        if found is None:
-            get = self.weights.get
-            found = max((get(f, 0.0) for w in self.channel.words(token) for f in features(w)), default=0.0)
-            if len(self.known) > 300_000:
-                self.known.clear()
-            self.known[token] = found
-        return found
+        get, stems = self.weights.get, self.stems
+        return max((get(f, 0.0) for w in self.channel.words(token) if w[:3] in stems or w + "$" in self.weights for f in features(w)), default=0.0)
 
     def vector(self, text: str) -> list[float]:
         own = tokens(text)
-        top = sorted((s for s in map(self.token, own) if s), reverse=True)
+        top = sorted([s for s in map(self.tokens.__getitem__, own) if s], reverse=True)
         total = sum(s for s in top if s > 2)
         first = (top + [0.0] * 3)[:3]
         return [*first, total / (1 + np.log1p(len(own))), np.log1p(len(own)), 1.0]
