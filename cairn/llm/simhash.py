@@ -6,6 +6,9 @@ are paired; by the triangle inequality two fingerprints at distance d differ by
 whose largest coordinate difference is above the threshold is discarded; what survives is verified on the bits.
 
 For a threshold t the masks of exact_masks() miss nothing: of t + 2 blocks, two fingerprints agree in two at least.
+For wide thresholds, where no such masks exist, the tables keep bits drawn at random, and rows of a key are compared with
+the key's leaders only (stars()): near_duplicates() is exact, without_near_duplicates() verifies what it finds.
+
 A key that very many distinct fingerprints share is not paired in one task: its members go on to a join by one-bit
 variants (two fingerprints at distance 2 or less share one), which is linear, exact and spread by value.
 
@@ -23,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, table, texts
+from .common import cut, stored, table, texts
 from .graph import components
 
 #: Rows of one key that are paired in one place; beyond, the variants take over.
@@ -166,8 +169,6 @@ def links(fps: DataFrame, threshold: int = 2, masks: list[int] | None = None, ru
     met = cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_paired(threshold, run), "a long, b long"))
     crowd = met.filter("b is null").select("a").distinct()
     variants = crowd.select("a", F.explode(F.array(fp_self := F.col("a"), *[fp_self.bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])).alias("v"))
-    if threshold > 2:
-        variants = variants.limit(0)
     through = variants.groupBy("v").agg(F.min("a").alias("b"), F.max("a").alias("c")).filter("b <> c")
     by_variant = variants.join(through.select("v", "b"), "v").filter("a <> b").select("a", "b")
     return met.filter("b is not null").union(by_variant)
@@ -187,5 +188,117 @@ def near_duplicates(docs: DataFrame, k: int = 3, threshold: int = 2, run: int =
     return docs.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _starred(threshold: int):
+    """Arrow batches of (key, fp) sorted by key -> (a, b): each fingerprint and the first leader of its key within the threshold; one without is a leader. Of a key only the leaders are held."""
+    pivots = np.array(PIVOTS, np.uint64)
+
+    def within(x: np.ndarray, leader: np.ndarray) -> np.ndarray:
+        near = np.ones(len(x), bool)
+        for p in pivots:
+            at = np.flatnonzero(near)
+            if len(at) < len(x) // 16:
+                break
+            lead = leader[at] if leader.ndim else leader
+            near[at] = np.abs(np.bitwise_count(x[at] ^ p).astype(np.int8) - np.bitwise_count(lead ^ p).astype(np.int8)) <= threshold
+        at = np.flatnonzero(near)
+        near[at] = np.bitwise_count(x[at] ^ (leader[at] if leader.ndim else leader)) <= threshold
+        return near
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            a, b, active = [], [], np.arange(len(key))
+            if len(key) and key[0] == held_key:
+                n = int(np.searchsorted(key, held_key, side="right"))
+                rest = np.arange(n)
+                for leader in held:
+                    near = within(fp[rest], leader)
+                    a.append(fp[rest[near]])
+                    b.append(np.full(int(near.sum()), leader))
+                    rest = rest[~near]
+                active = np.concatenate((rest, np.arange(n, len(key))))
+            if not len(key):
+                continue
+            if key[-1] != held_key:
+                held_key, held = key[-1], np.zeros(0, np.uint64)
+            while len(active):
+                first = np.concatenate(([True], key[active[1:]] != key[active[:-1]]))
+                leader = active[first][np.cumsum(first) - 1]
+                near = within(fp[active], fp[leader])
+                met = near & ~first
+                a.append(fp[active[met]])
+                b.append(fp[leader[met]])
+                if key[active[-1]] == held_key:
+                    held = np.append(held, fp[leader[-1]])
+                active = active[~near]
+            x, y = (np.concatenate(v) if v else np.zeros(0, np.uint64) for v in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
+
+    return work
+
+
+def stars(fps: DataFrame, threshold: int, masks: list[int]) -> DataFrame:
+    """(a, b): links between distinct fingerprints within the threshold, under each mask's key a member with its leader."""
+    fp = F.col("fp")
+    keys = [F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)]
+    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("key", "fp")
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_starred(threshold), "a long, b long").distinct()
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    digest = xxhash.xxh64_intdigest
+    for batch in batches:
+        packed = [np.unique(np.array([digest(x, 42) for x in shingles(t, k)], "<u8")).tobytes() for t in texts(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= least * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, threshold: int = 12, tables: int = 64) -> DataFrame:
+    """(doc_id, kept_id): each document that has a near duplicate with a smaller id, and the smallest id of its group.
+
+    Equal texts are joined by a 128-bit hash. The others meet through their fingerprints over k-word shingles (threshold
+    bits of 64 apart at most, in one of the tables, whose keys get a bit longer as the number of fingerprints doubles),
+    and are linked if the Jaccard similarity of their sets of shingles is `similarity` or more. Groups are the components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = texts(batch.column(1))
+            fp = np.fromiter((simhash(x, k) for x in data), np.uint64, len(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in data], pa.binary()), pa.array(fp.view(np.int64))], names=["doc_id", "mark", "fp"])
+
+    docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
+    rows = stored(docs.mapInArrow(run, "doc_id long, mark binary, fp long"), "fingerprints")
+    distinct = rows.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"))
+    copies = rows.join(distinct.select("mark", "rep"), "mark").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    heads = distinct.groupBy("fp").agg(F.min("rep").alias("head"))
+    alike = distinct.join(heads, "fp").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    bits = max(16, heads.count().bit_length())
+    near = stars(heads.select("fp"), threshold, sampled_masks(tables, min(bits, 40)))
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    candidates = cut(alike.union(near).distinct())
+    named = candidates.select("a").union(candidates.select("b")).distinct()
+    sets = cut(docs.join(named, docs.doc_id == named.a, "left_semi").mapInArrow(lambda x: _sets(x, k), "doc_id long, shingles binary"))
+    first, second = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    linked = candidates.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(lambda x: _similar(x, similarity), "a long, b long")
+    groups = components(copies.union(linked))
+    return groups.filter("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
+
+
+def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """The rows and columns of docs, of each group of near duplicates only the document with the smallest id. Rows of one id stay or go together; rows without an id stay."""
+    gone = duplicates(docs, **how).select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
