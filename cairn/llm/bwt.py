@@ -14,15 +14,18 @@ import numpy as np
 def suffix_order(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     """Places of data sorted by the depth symbols from there on, or more. Symbols are 1 .. 256; the strings' ends are 0, each smaller than any symbol and in order among themselves."""
     n, width = len(data), 7
-    padded = np.concatenate((data, np.zeros(width, data.dtype))).astype(np.int64)
-    string = np.searchsorted(ends, np.arange(n))
-    left = ends[string] - np.arange(n)  # symbols before the string's end
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # symbols before the string's end
     key = np.zeros(n, np.int64)
+    padded = np.concatenate((data, np.zeros(width, data.dtype)))
+    going = np.ones(n, bool)
     for i in range(width):
-        key = (key << 9) | np.where(left > i, padded[i : n + i], 0)
-    tie = np.where(left < width, string + 1, 0)
-    order = np.lexsort((tie, key))
-    new = np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (tie[order][1:] != tie[order][:-1])))
+        going &= left > i
+        key <<= 9
+        key[going] |= padded[i : n + i][going]
+    order = np.argsort(key, kind="stable")  # alike up to their ends: in order of the strings
+    new = np.ones(n, bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (left[order][1:] < width)
+    del key, going, padded
     start = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(start, np.diff(np.concatenate((start, [n]))))
@@ -30,11 +33,11 @@ def suffix_order(data: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     active = np.flatnonzero(~alone)  # rows of the order whose suffixes aren't told apart yet
     while width < depth and len(active):
         at = order[active]
-        first, then = rank[at], rank[at + width]
-        by = np.lexsort((then, first))
-        at, first, then = at[by], first[by], then[by]
+        key = rank[at] * n + rank[at + width]
+        by = np.argsort(key)
+        at, key = at[by], key[by]
         order[active] = at
-        new = np.concatenate(([True], (first[1:] != first[:-1]) | (then[1:] != then[:-1])))
+        new = np.concatenate(([True], key[1:] != key[:-1]))
         start = np.flatnonzero(new)
         rank[at] = np.repeat(active[start], np.diff(np.concatenate((start, [len(at)]))))
         active = active[~(new & np.concatenate((new[1:], [True])))]

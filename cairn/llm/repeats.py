@@ -5,7 +5,8 @@ a string without company has no repeated window. Where all strings of a minimise
 
 Nulls: a null text is empty; a null doc_id counts as larger than any other, and two of them as equal. Rows alike in
 doc_id and text are one document for words (an id isn't smaller than itself), and copies of each other for bytes.
-Texts shorter than a window lose nothing. An empty table gives an empty result. Other columns are not read.
+Texts shorter than a window lose nothing. An empty table gives an empty result. Other columns travel in a struct of their own,
+so that their names clash with nothing.
 """
 
 from __future__ import annotations
@@ -15,13 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .bwt import shared_prefixes, spans
 from .common import table
-from .superkmers import Strings, covered, exchange
+from .superkmers import LETTERS, POWERS, Strings, covered, exchange
 
 BYTES, WORDS = 200, 13
+#: Bytes and words of a minimiser; bytes of strings that are sorted together, or of one larger group.
+MINIMISER, WORD_MINIMISER, TOGETHER = 24, 3, 1 << 20
 
 
 class Contents:
@@ -44,7 +48,7 @@ class Contents:
         first = self.content == np.arange(n)
         kinds = np.bincount(group[first], minlength=len(sizes))
         self.company = kinds[group] > 1
-        self.raw, self.ends = raw, ends
+        self.raw, self.ends, self.group = raw, ends, group
         self.place_content = np.repeat(self.content, s.count)
 
     def text(self, i: int) -> bytes:
@@ -64,6 +68,21 @@ def _runs(s: Strings, contents: Contents, places: np.ndarray, marked: np.ndarray
     return places[owner[a]], a - at[owner[a]], b - a + 1
 
 
+def near(s: Strings, c: Contents, some: np.ndarray) -> np.ndarray:
+    """Which of these contents may share a window with another one. Such a window holds the minimiser and, on one side of it, half of its other bytes at least."""
+    half = (BYTES - MINIMISER + 1) // 2
+    begin, length = c.begin[some], s.length[some].astype(np.int64)
+    data = s.data[spans(begin, length)]
+    sums = POWERS.sums(LETTERS[data])
+    at = np.cumsum(length) - length + s.offset[some]
+    out = np.zeros(len(some), bool)
+    for low, high, there in ((at, at + MINIMISER + half, s.offset[some] + MINIMISER + half <= length), (at - half, at + MINIMISER, s.offset[some] >= half)):
+        rows = np.flatnonzero(there)
+        _, which, times = np.unique(POWERS.of(sums, low[rows], high[rows]), return_inverse=True, return_counts=True)
+        out[rows[times[which] > 1]] = True
+    return out
+
+
 def repeated_bytes(s: Strings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows that also start anywhere else."""
     c = Contents(s)
@@ -75,11 +94,19 @@ def repeated_bytes(s: Strings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     some = c.in_company()
     if not len(some):
         return out
-    shared = shared_prefixes([c.text(i) for i in some.tolist()], BYTES)
-    start = np.zeros(len(s.length), np.int64)
+    some = some[np.argsort(c.group[some], kind="stable")]
+    some = some[near(s, c, some)]
+    start = np.full(len(s.length), -1)
     lengths = s.length[some].astype(np.int64) + 1
     start[some] = np.cumsum(lengths) - lengths
-    rest = places[~whole & c.company[c.place_content]]
+    edges = np.flatnonzero(np.diff(c.group[some], prepend=-1))
+    parts, at = [], 0
+    for edge in [*edges[1:].tolist(), len(some)]:  # whole groups, so many at a time
+        if edge > at and (edge == len(some) or start[some[edge]] - start[some[at]] >= TOGETHER):
+            parts.append(shared_prefixes([c.text(i) for i in some[at:edge].tolist()], BYTES))
+            at = edge
+    shared = np.concatenate(parts) if parts else np.zeros(0, bool)
+    rest = places[~whole & (start[c.place_content] >= 0)]
     k = c.place_content[rest]
     n = s.windows[k].astype(np.int64)
     more = _runs(s, c, rest, shared[spans(start[k], n)], np.cumsum(n) - n)
@@ -121,14 +148,14 @@ def repeated_words(s: Strings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(out, more))
 
 
-def byte_spans(docs: DataFrame, m: int = 32, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, text, spans) of repeated windows of BYTES bytes."""
-    return exchange(docs, BYTES, m, False, repeated_bytes, bucket_bytes)
+def byte_spans(docs: DataFrame, bucket_bytes: int = 6 << 20) -> DataFrame:
+    """(doc_id, text, rest, spans) of repeated windows of BYTES bytes."""
+    return exchange(docs, BYTES, MINIMISER, False, repeated_bytes, bucket_bytes)
 
 
-def word_spans(docs: DataFrame, m: int = 4, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, text, spans) of windows of WORDS words that start in a document with a smaller id."""
-    return exchange(docs, WORDS, m, True, repeated_words, bucket_bytes)
+def word_spans(docs: DataFrame, bucket_bytes: int = 6 << 20) -> DataFrame:
+    """(doc_id, text, rest, spans) of windows of WORDS words that start in a document with a smaller id."""
+    return exchange(docs, WORDS, WORD_MINIMISER, True, repeated_words, bucket_bytes, level=5)
 
 
 def kept_bytes(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -150,19 +177,22 @@ def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
 
 
 def without_repeated_bytes(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): the texts without their repeated bytes, whole characters kept."""
+    """All rows and columns of docs, the texts without their repeated bytes (of a character cut by a window's end, all bytes stay), and n_chars to match where there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 if found:
                     raw = text.encode()
                     text = kept_bytes(raw, whole_characters(raw, covered(found, BYTES))).decode()
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), batch.column("rest")], names=["doc_id", "text", "rest"])
 
-    return byte_spans(docs).mapInArrow(run, "doc_id long, text string")
+    rows = byte_spans(docs)
+    rows = rows.mapInArrow(run, StructType([f for f in rows.schema.fields if f.name != "spans"]))
+    text = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*(text[c].alias(c) if c in text else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +206,7 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     schema = pa.schema([(n, pa.int64()) for n in names[:-1]] + [(names[-1], pa.string())])
-    return byte_spans(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return byte_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,4 +224,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     schema = pa.schema([(n, pa.int64()) for n in names[:-1]] + [(names[-1], pa.string())])
-    return word_spans(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return word_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")

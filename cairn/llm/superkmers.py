@@ -96,11 +96,11 @@ def word_units(parts: list[bytes]) -> Units:
     return Units(data, letter, begin, end, np.concatenate(([0], np.cumsum(counts))).astype(np.int64))
 
 
-def runs(units: Units, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First unit, number of windows and minimiser of each super-k-mer."""
+def runs(units: Units, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First unit, number of windows, minimiser and its unit, of each super-k-mer."""
     n = len(units.letter)
     if n < k:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     sums = POWERS.sums(units.letter)
     first = np.arange(n - m + 1)
     gram = mix64((sums[m:] - sums[: n - m + 1]) * POWERS.down[: n - m + 1])
@@ -111,7 +111,7 @@ def runs(units: Units, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         inside[max(0, edge - k + 1) : edge] = False
     starts = np.flatnonzero(inside & np.concatenate(([True], (place[1:] != place[:-1]) | ~inside[:-1])))
     stops = np.flatnonzero(inside & np.concatenate(((place[1:] != place[:-1]) | ~inside[1:], [True]))) + 1
-    return starts, stops - starts, gram[place[starts]]
+    return starts, stops - starts, gram[place[starts]], place[starts]
 
 
 def _flat_spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -128,10 +128,11 @@ def _flat_spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Strings:
-    """Packed strings of one bucket: byte lengths, windows, the low half of the minimiser, how many places hold each; the places (a document of the table, a first unit); the table of documents; the bytes."""
+    """Packed strings of one bucket: byte lengths, windows, the byte where the minimiser begins, its high bits, how many places hold each; the places (a document of the table, a first unit); the table of documents; the bytes."""
 
     length: np.ndarray
     windows: np.ndarray
+    offset: np.ndarray
     mark: np.ndarray
     count: np.ndarray
     doc: np.ndarray
@@ -140,33 +141,37 @@ class Strings:
     text_hash: np.ndarray
     data: np.ndarray
 
-    KINDS = ("<u4", "<u2", "<u4", "<u4", "<u4", "<u4", "<i8", "<i8", "u1")
+    KINDS = ("<u4", "<u2", "<u4", "<u4", "<u4", "<u4", "<u4", "<i8", "<i8", "u1")
+    NAMES = ("length", "windows", "offset", "mark", "count", "doc", "at", "doc_id", "text_hash", "data")
 
-    def pack(self, level: int) -> bytes:
-        arrays = [self.length, self.windows, self.mark, self.count, self.doc, self.at, self.doc_id, self.text_hash, self.data]
+    def pack(self, compressor: zstandard.ZstdCompressor) -> bytes:
+        """Marks ascend and are written as steps."""
+        arrays = [np.diff(self.mark, prepend=0) if name == "mark" else getattr(self, name) for name in self.NAMES]
         head = np.array([len(a) for a in arrays], "<u4").tobytes()
-        return zstandard.ZstdCompressor(level=level).compress(head + b"".join(np.ascontiguousarray(a.astype(t, copy=False)).tobytes() for a, t in zip(arrays, self.KINDS)))
+        return compressor.compress(head + b"".join(np.ascontiguousarray(a.astype(t, copy=False)).tobytes() for a, t in zip(arrays, self.KINDS)))
 
     @classmethod
-    def unpack(cls, blob: bytes) -> Strings:
-        raw = zstandard.ZstdDecompressor().decompress(blob)
+    def unpack(cls, blob: bytes, decompressor: zstandard.ZstdDecompressor) -> Strings:
+        raw = decompressor.decompress(blob)
         sizes, at, out = np.frombuffer(raw, "<u4", len(cls.KINDS)), 4 * len(cls.KINDS), []
         for n, t in zip(sizes.tolist(), cls.KINDS):
             out.append(np.frombuffer(raw, t, n, at))
             at += n * np.dtype(t).itemsize
-        return cls(*out)
+        own = cls(*out)
+        own.mark = np.cumsum(own.mark, dtype=np.int64)
+        return own
 
     @classmethod
     def together(cls, many: list[Strings]) -> Strings:
         shift = np.cumsum([0] + [len(s.doc_id) for s in many[:-1]])
         docs = np.concatenate([s.doc.astype(np.int64) + d for s, d in zip(many, shift)])
-        return cls(*(docs if name == "doc" else np.concatenate([getattr(s, name) for s in many]) for name in ("length", "windows", "mark", "count", "doc", "at", "doc_id", "text_hash", "data")))
+        return cls(*(docs if name == "doc" else np.concatenate([getattr(s, name) for s in many]) for name in cls.NAMES))
 
 
-def _packed(parts: list[tuple[int, int, int, bytes]], k: int, m: int, buckets: int, units_of: Callable, level: int) -> Iterator[tuple[int, bytes]]:
+def _packed(parts: list[tuple[int, int, int, bytes]], k: int, m: int, buckets: int, units_of: Callable, compressor: zstandard.ZstdCompressor) -> Iterator[tuple[int, bytes]]:
     """parts: doc_id, hash of the text, first unit, bytes."""
     units = units_of([p[3] for p in parts])
-    start, windows, gram = runs(units, k, m)
+    start, windows, gram, place = runs(units, k, m)
     if not len(start):
         return
     begin, length = units.begin[start], units.end[start + windows + k - 2] - units.begin[start]
@@ -174,7 +179,8 @@ def _packed(parts: list[tuple[int, int, int, bytes]], k: int, m: int, buckets: i
     base = np.array([p[2] for p in parts])
     at = start - units.part[part] + base[part]
     whole = POWERS.of(POWERS.sums(LETTERS[units.data]), begin, begin + length)
-    bucket = (mix64(gram) % np.uint64(buckets)).astype(np.int64)
+    gram = mix64(gram)  # the smallest hashes lie close together
+    bucket = ((gram & np.uint64(0xFFFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((whole, gram, bucket))  # equal strings side by side
     b, g, w, n = bucket[order], gram[order], whole[order], length[order]
     new = np.concatenate(([True], (g[1:] != g[:-1]) | (w[1:] != w[:-1]) | (n[1:] != n[:-1])))
@@ -187,24 +193,35 @@ def _packed(parts: list[tuple[int, int, int, bytes]], k: int, m: int, buckets: i
         places = order[firsts[lo] : firsts[hi] if hi < len(firsts) else len(order)]
         used, doc = np.unique(part[places], return_inverse=True)
         data = units.data[_flat_spans(begin[own], length[own])]
-        yield int(b[firsts[lo]]), Strings(length[own], windows[own], gram[own] & np.uint64(0xFFFFFFFF), counts[lo:hi], doc, at[places], ids[used], hashes[used], data).pack(level)
+        strings = Strings(length[own], windows[own], units.begin[place[own]] - begin[own], (gram[own] >> np.uint64(40)).astype(np.int64), counts[lo:hi], doc, at[places], ids[used], hashes[used], data)
+        yield int(b[firsts[lo]]), strings.pack(compressor)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and text_hash: together they name a row, but for rows that are alike in both."""
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    """doc_id, text and text_hash, which name a row but for rows that are alike in both; and rest, a struct of all other columns."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.lit(None)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest")).withColumn("text_hash", F.xxhash64("text"))
 
 
-def pack(rows: DataFrame, k: int, m: int, buckets: int, words: bool, level: int = 3) -> DataFrame:
+def dictionary(rows: DataFrame, size: int = 1 << 20) -> bytes:
+    """Text that helps compression, of some documents; of no effect on what is found. At most `size` bytes."""
+    some = rows.select(F.substring("text", 1, 2048).alias("text")).limit(size // 1024).collect()
+    return "".join(r.text for r in some).encode()[:size]
+
+
+def pack(rows: DataFrame, k: int, m: int, buckets: int, words: bool, known: bytes, level: int = 3) -> DataFrame:
     """(bucket, blob) of keyed() rows; a null id is packed as the largest."""
     units_of = word_units if words else byte_units
+    sent = rows.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
         size = 0
+        compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(sent.value, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) if sent.value else zstandard.ZstdCompressor(level=level)
 
         def out() -> pa.RecordBatch:
-            made = list(_packed(held, k, m, buckets, units_of, level))
+            made = list(_packed(held, k, m, buckets, units_of, compressor))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int32()), pa.array([x[1] for x in made], pa.binary())], names=["bucket", "blob"])
 
         for batch in batches:
@@ -237,23 +254,25 @@ def number_of_buckets(rows: DataFrame, bytes_each: int) -> int:
     return max(1, -(-(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // bytes_each))
 
 
-def exchange(docs: DataFrame, k: int, m: int, words: bool, spans_of: Callable[[Strings], Iterator[tuple]], bucket_bytes: int = 8 << 20) -> DataFrame:
-    """All rows of docs, keyed(), with spans array<struct<at, windows>>: runs of a document's windows that spans_of() marks.
+def exchange(docs: DataFrame, k: int, m: int, words: bool, spans_of: Callable[[Strings], Iterator[tuple]], bucket_bytes: int = 8 << 20, level: int = 3) -> DataFrame:
+    """All rows of docs as doc_id, text and rest (see keyed()), with spans array<struct<at, windows>>: runs of a document's windows that spans_of() marks.
 
     spans_of() gets a bucket's Strings and gives arrays: places (by number), first windows and numbers of windows."""
     rows = keyed(docs)
-    buckets = number_of_buckets(rows, bucket_bytes)
+    buckets, known = number_of_buckets(rows, bucket_bytes), dictionary(rows)
+    sent = rows.sparkSession.sparkContext.broadcast(known)
 
     def meet(table: pa.Table) -> pa.Table:
-        strings = Strings.together([Strings.unpack(x.as_py()) for x in table.column("blob")])
+        of = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(sent.value, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) if sent.value else zstandard.ZstdDecompressor()
+        strings = Strings.together([Strings.unpack(x.as_py(), of) for x in table.column("blob")])
         place, first, n = spans_of(strings)
         doc = strings.doc[place]
         return pa.table({"doc_id": pa.array(strings.doc_id[doc].astype(np.int64)), "text_hash": pa.array(strings.text_hash[doc].astype(np.int64)), "at": pa.array((strings.at[place] + first).astype(np.int64)), "windows": pa.array(n.astype(np.int32))})
 
-    met = pack(rows, k, m, buckets, words).groupBy("bucket").applyInArrow(meet, "doc_id long, text_hash long, at long, windows int")
+    met = pack(rows, k, m, buckets, words, known, level).groupBy("bucket").applyInArrow(meet, "doc_id long, text_hash long, at long, windows int")
     by = met.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "windows")).alias("spans"))
     by = by.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
-    return rows.join(by, (F.coalesce(rows.doc_id, F.lit((1 << 63) - 1)) == by._id) & (rows.text_hash == by._hash), "left").select("doc_id", "text", "spans")
+    return rows.join(by, (F.coalesce(rows.doc_id, F.lit((1 << 63) - 1)) == by._id) & (rows.text_hash == by._hash), "left").select("doc_id", "text", "rest", "spans")
 
 
 def covered(spans: list | None, k: int) -> list[tuple[int, int]]:
