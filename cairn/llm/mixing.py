@@ -57,16 +57,16 @@ def _size(text: Column) -> Column:
 def plan(docs: DataFrame, block_words: int = 128, shards: int = 16, seed: int = 0, bucket_rows: int = 50_000, with_text: bool = True, **how) -> tuple[DataFrame, DataFrame]:
     """Documents with size, source_size, target and at (the place of its first word in its source); and slots (source, block,
     round, words: how many of the block's words it takes, shard)."""
-    docs = docs.drop("size", "source_size", "target", "at").withColumn("size", _size(F.col("text"))).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    docs = docs.drop("size", "source_size", "target", "at").withColumn("size", _size(F.col("text"))).withColumn("_mix_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
     docs = stored(docs if with_text else docs.drop("text"), "sized")  # texts are counted once
     by = stored(targets(docs.select("source", "size"), **how), "targets")
-    docs = docs.withColumn("_b", F.pmod("_h", F.lit(max(16, docs.count() // bucket_rows))))
-    sums = docs.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
-    sums = sums.withColumn("_from", F.coalesce(F.sum("_s").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = sums.join(by, sums.source.eqNullSafe(by.source)).select(sums.source.alias("_source"), sums._b.alias("_bucket"), "_from", "source_size", "target")
-    inner = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    docs = docs.join(starts, docs.source.eqNullSafe(F.col("_source")) & (docs._b == F.col("_bucket"))).withColumn("at", F.col("_from") + F.col("_in")).drop("_h", "_b", "_in", "_from", "_source", "_bucket")
+    docs = docs.withColumn("_mix_b", F.pmod("_mix_h", F.lit(max(16, docs.count() // bucket_rows))))
+    sums = docs.groupBy("source", "_mix_b").agg(F.sum("size").alias("_mix_s"))
+    sums = sums.withColumn("_mix_from", F.coalesce(F.sum("_mix_s").over(Window.partitionBy("source").orderBy("_mix_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = sums.join(by, sums.source.eqNullSafe(by.source)).select(sums.source.alias("_mix_source"), sums._mix_b.alias("_mix_bucket"), "_mix_from", "source_size", "target")
+    inner = Window.partitionBy("source", "_mix_b").orderBy("_mix_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    docs = docs.withColumn("_mix_in", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    docs = docs.join(starts, docs.source.eqNullSafe(F.col("_mix_source")) & (docs._mix_b == F.col("_mix_bucket"))).withColumn("at", F.col("_mix_from") + F.col("_mix_in")).drop("_mix_h", "_mix_b", "_mix_in", "_mix_from", "_mix_source", "_mix_bucket")
     n = F.ceil(F.col("source_size") / block_words).cast("long")
     words = F.round("target").cast("long")
     rounds = by.filter("source_size > 0").select("source", "source_size", n.alias("n"), words.alias("words"), F.explode(F.sequence(F.lit(0), F.floor((words - 1) / F.col("source_size")).cast("int"))).alias("round")).filter("words > 0")
@@ -76,9 +76,9 @@ def plan(docs: DataFrame, block_words: int = 128, shards: int = 16, seed: int =
     slots = spans.withColumn("j", F.explode(F.sequence(F.col("span").cast("long") * 1000, F.least(F.col("n"), F.ceil(F.col("left") / block_words) + 1, (F.col("span").cast("long") + 1) * 1000) - 1)))
     keys = (F.lit(seed), F.col("source"), F.col("round"))
     slots = slots.withColumn("block", permuted(F.col("j"), F.col("n"), *keys)).withColumn("length", F.when(F.col("block") == F.col("n") - 1, F.col("source_size") - (F.col("n") - 1) * block_words).otherwise(F.lit(block_words)))
-    short = slots.filter("block = n - 1").select(F.col("source").alias("_source"), F.col("round").alias("_round"), F.col("j").alias("_j"), F.col("length").alias("_length"))
-    slots = slots.join(short, slots.source.eqNullSafe(F.col("_source")) & (slots.round == F.col("_round")), "left")
-    begins = F.col("j") * block_words - F.when(F.col("j") > F.col("_j"), block_words - F.col("_length")).otherwise(0)
+    short = slots.filter("block = n - 1").select(F.col("source").alias("_mix_source"), F.col("round").alias("_mix_round"), F.col("j").alias("_mix_j"), F.col("length").alias("_mix_length"))
+    slots = slots.join(short, slots.source.eqNullSafe(F.col("_mix_source")) & (slots.round == F.col("_mix_round")), "left")
+    begins = F.col("j") * block_words - F.when(F.col("j") > F.col("_mix_j"), block_words - F.col("_mix_length")).otherwise(0)
     slots = slots.withColumn("words", F.least(F.col("length"), F.col("left") - begins)).filter("words > 0")
     shard = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "round", "j"), F.lit(shards)).cast("int")
     return docs, slots.select("source", "block", "round", "words", shard.alias("shard"))
@@ -88,8 +88,8 @@ def taken_spans(docs: DataFrame, slots: DataFrame, block_words: int) -> DataFram
     """(source, at, taken, spans): for each document that is taken, its words taken and the spans (round, shard, from, words) in it."""
     end = F.col("at") + F.col("size")
     pieces = docs.filter("size > 0").select("source", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((end - 1) / block_words))).alias("block"))
-    slots = slots.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "round", "words", "shard")
-    met = pieces.join(slots, pieces.source.eqNullSafe(F.col("_source")) & (pieces.block == F.col("_block")))
+    slots = slots.select(F.col("source").alias("_mix_source"), F.col("block").alias("_block"), "round", "words", "shard")
+    met = pieces.join(slots, pieces.source.eqNullSafe(F.col("_mix_source")) & (pieces.block == F.col("_block")))
     first = F.greatest(F.col("at"), F.col("block") * block_words)
     last = F.least(end, F.col("block") * block_words + F.col("words"))
     met = met.withColumn("from", first - F.col("at")).withColumn("n", last - first).filter("n > 0")
@@ -101,9 +101,9 @@ def mix(docs: DataFrame, block_words: int = 128, shards: int = 16, seed: int = 0
     """All columns of docs (every row; its text only with_text), and size, source_size, target, taken, spans."""
     docs = docs.drop("taken", "spans")
     rows, slots = plan(docs, block_words, shards, seed, **how)
-    spans = taken_spans(rows, slots, block_words).select(F.col("source").alias("_source"), F.col("at").alias("_at"), "taken", "spans")
-    out = rows.join(spans, rows.source.eqNullSafe(F.col("_source")) & (rows.at == F.col("_at")) & (rows["size"] > 0), "left")
-    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("_source", "_at", "at")
+    spans = taken_spans(rows, slots, block_words).select(F.col("source").alias("_mix_source"), F.col("at").alias("_mix_at"), "taken", "spans")
+    out = rows.join(spans, rows.source.eqNullSafe(F.col("_mix_source")) & (rows.at == F.col("_mix_at")) & (rows["size"] > 0), "left")
+    return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("_mix_source", "_mix_at", "at")
 
 
 def shard_counts(docs: DataFrame, block_words: int = 128, shards: int = 16, seed: int = 0, **how) -> DataFrame:
@@ -116,9 +116,9 @@ def mixed_texts(docs: DataFrame, block_words: int = 128, shards: int = 16, seed:
     columns = docs.columns
     mixed = mix(docs, block_words, shards, seed, **how).filter("taken > 0")
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    parts = F.flatten(F.transform("spans", lambda s: F.slice("_words", (s["from"] + 1).cast("int"), s["words"].cast("int"))))
+    parts = F.flatten(F.transform("spans", lambda s: F.slice("_mix_words", (s["from"] + 1).cast("int"), s["words"].cast("int"))))
     once = (F.col("taken") == F.col("size")) & F.forall("spans", lambda s: s["round"] == F.element_at("spans", 1)["round"])
-    mixed = mixed.withColumn("_words", words).withColumn("text", F.when(once, F.col("text")).otherwise(F.array_join(parts, " ")))
+    mixed = mixed.withColumn("_mix_words", words).withColumn("text", F.when(once, F.col("text")).otherwise(F.array_join(parts, " ")))
     if "n_chars" in columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
     return mixed.select(*columns)
