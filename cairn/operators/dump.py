@@ -184,9 +184,8 @@ class Dump:
             return rows if pid is None else rows.filter(F.col("key") == pid)
 
         def listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
-            first = rows.groupBy("dump_id", "pid").agg(F.min("section_id").alias("section_id"))
-            rows = rows.join(first, ["dump_id", "pid", "section_id"])
-            return rows.groupBy("dump_id", "pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", *columns))), lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias(name))
+            each = rows.groupBy("dump_id", "pid", "section_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", *columns))), lambda x: F.struct(*(x[c].alias(c) for c in columns))).alias(name))
+            return each.groupBy("dump_id", "pid").agg(F.min_by(name, "section_id").alias(name))
 
         out = self.processes()
         out = out if pid is None else out.filter(F.col("pid") == pid)
