@@ -54,7 +54,7 @@ def _size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def plan(docs: DataFrame, block_words: int = 128, shards: int = 16, seed: int = 0, bucket_rows: int = 50_000, with_text: bool = True, **how) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int = 0, bucket_rows: int = 50_000, with_text: bool = True, **how) -> tuple[DataFrame, DataFrame]:
     """Documents with size, source_size, target and at (the place of its first word in its source); and slots (source, block,
     round, words: how many of the block's words it takes, shard)."""
     docs = docs.drop("size", "source_size", "target", "at").withColumn("size", _size(F.col("text"))).withColumn("_mix_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
@@ -97,7 +97,7 @@ def taken_spans(docs: DataFrame, slots: DataFrame, block_words: int) -> DataFram
     return met.groupBy("source", "at").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(span)).alias("spans"))
 
 
-def mix(docs: DataFrame, block_words: int = 128, shards: int = 16, seed: int = 0, **how) -> DataFrame:
+def mix(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int = 0, **how) -> DataFrame:
     """All columns of docs (every row; its text only with_text), and size, source_size, target, taken, spans."""
     docs = docs.drop("taken", "spans")
     rows, slots = plan(docs, block_words, shards, seed, **how)
@@ -106,19 +106,19 @@ def mix(docs: DataFrame, block_words: int = 128, shards: int = 16, seed: int = 0
     return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("_mix_source", "_mix_at", "at")
 
 
-def shard_counts(docs: DataFrame, block_words: int = 128, shards: int = 16, seed: int = 0, **how) -> DataFrame:
+def shard_counts(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int = 0, **how) -> DataFrame:
     """(shard, source, blocks): the multinomial draw."""
     return plan(docs, block_words, shards, seed, **how)[1].groupBy("shard", "source").agg(F.count("*").alias("blocks"))
 
 
-def mixed_texts(docs: DataFrame, block_words: int = 128, shards: int = 16, seed: int = 0, **how) -> DataFrame:
+def mixed_texts(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int = 0, **how) -> DataFrame:
     """The columns of docs for each document that the mix takes from, its text the words taken, round after round; a text taken once and whole stays as it is."""
     columns = docs.columns
     mixed = mix(docs, block_words, shards, seed, **how).filter("taken > 0")
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     parts = F.flatten(F.transform("spans", lambda s: F.slice("_mix_words", (s["from"] + 1).cast("int"), s["words"].cast("int"))))
     once = (F.col("taken") == F.col("size")) & F.forall("spans", lambda s: s["round"] == F.element_at("spans", 1)["round"])
-    mixed = mixed.withColumn("_mix_words", words).withColumn("text", F.when(once, F.col("text")).otherwise(F.array_join(parts, " ")))
+    mixed = mixed.withColumn("_mix_words", F.when(~once, words)).withColumn("text", F.when(once, F.col("text")).otherwise(F.array_join(parts, " ")))
     if "n_chars" in columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast("long"))
     return mixed.select(*columns)
