@@ -21,6 +21,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -28,7 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import Memo, table
 
 #: Words, and pieces, that a worker remembers before the older ones go; it holds twice as many at most.
-MEMORY = 200_000
+MEMORY = 100_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -222,18 +223,27 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns of docs, and ids array<int>, decoded string (replacing columns of these names)."""
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = True, rows_at_once: int = 500) -> DataFrame:
+    """All columns of docs, and ids array<int> and (if asked for) decoded string, replacing columns of these names."""
     path = path or vocabulary()
     docs = docs.drop("ids", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            ids = [bpe.encode(x or "") for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())], names=[*batch.schema.names, "ids", "decoded"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(at, rows_at_once)
+                ids, tokens = [], []
+                for text in batch.column("text").to_pylist():
+                    found = bpe.found(text or "")
+                    ids.append(np.array(" ".join([x[0] for x in found]).split(), dtype=np.int32))
+                    tokens.append(" ".join([x[2] for x in found]) if decoded else "")
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, column, *([pa.array(tokens, pa.string())] if decoded else [])], names=[*batch.schema.names, "ids", *(["decoded"] if decoded else [])])
+
+    added = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added[: 1 + decoded]]))
 
 
 def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

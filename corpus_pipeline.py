@@ -40,7 +40,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids)."""
-    return encode(docs).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return encode(docs, decoded=False).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("toxicity", toxicity), ("simhash_near_duplicates", near_duplicates), ("suffix_array_dedup", repeated_passages), ("mixing", mixing), ("bpe", encoding)]
