@@ -75,10 +75,10 @@ class Dump:
     def sections(self, sort_by: str = "size") -> DataFrame:
         """The catalogue with rank: by size, largest first, by kind or by key."""
         order = {"kind": ["kind", "key"], "key": ["key", "kind"]}.get(sort_by, [F.desc("size_bytes"), "kind", "key"])
-        return plan.catalogue(self.all_sections).withColumn("rank", F.row_number().over(Window.partitionBy("dump_id").orderBy(*order, "section_id")))
+        return plan.catalogue(self.all_sections).withColumn("rank", F.row_number().over(Window.partitionBy("dump_id").orderBy(*order, "section_id")).cast("long"))
 
     def section_groups(self) -> DataFrame:
-        return plan.catalogue(self.all_sections).groupBy("dump_id", "kind").agg(F.count("*").alias("entries"), F.sum("size_bytes").alias("total_bytes")).withColumn("rank", F.row_number().over(Window.partitionBy("dump_id").orderBy(F.desc("total_bytes"), "kind")))
+        return plan.catalogue(self.all_sections).groupBy("dump_id", "kind").agg(F.count("*").alias("entries"), F.sum("size_bytes").alias("total_bytes")).withColumn("rank", F.row_number().over(Window.partitionBy("dump_id").orderBy(F.desc("total_bytes"), "kind")).cast("long"))
 
     def has_section(self, kind: str, key: str | None = None) -> bool:
         return not plan.catalogue(self.all_sections).filter((F.col("kind") == kind) & F.col("key").eqNullSafe(F.lit(key))).isEmpty()
@@ -96,7 +96,7 @@ class Dump:
         """Adds n, the place of each line among those of its section that aren't empty (from 0), and total; drops empty ones."""
         section = Window.partitionBy("dump_id", "section_id")
         kept = rows.filter("value <> ''")
-        return kept.withColumn("n", F.row_number().over(section.orderBy("line_no")) - 1).withColumn("total", F.count("*").over(section))
+        return kept.withColumn("n", F.row_number().over(section.orderBy("line_no")).cast("long") - 1).withColumn("total", F.count("*").over(section))
 
     def line_page(self, kind: str, key: str | None, offset: int, limit: int) -> DataFrame:
         rows = self.numbered_lines(self.kind(kind).filter(F.col("key").eqNullSafe(F.lit(key))))
@@ -125,7 +125,7 @@ class Dump:
                 hit = hit | F.contains(F.lower(F.coalesce(c, F.lit(""))), wanted_text)
             out = out.filter(hit)
         order = ["pid", "section_id"] if sort_by == "pid" else [F.desc("memory"), "pid", "section_id"]
-        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("dump_id").orderBy(*order)))
+        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("dump_id").orderBy(*order)).cast("long"))
         return out if top is None else out.filter(F.col("rank") <= top)
 
     def display(self, processes: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ class Dump:
         rows = key_values(self.kind("memory").filter("key is null")).withColumn("bytes", fmt.unsigned(F.col("v"))).filter("bytes is not null")
         first = rows.groupBy("dump_id").agg(F.min("section_id").alias("section_id"))
         rows = rows.join(first, ["dump_id", "section_id"])
-        return rows.select("dump_id", F.row_number().over(Window.partitionBy("dump_id").orderBy("line_no")).alias("ord"), F.col("k").alias("key"), F.least("bytes", F.lit((1 << 63) - 1).cast("decimal(20,0)")).cast("long").alias("bytes"))
+        return rows.select("dump_id", F.row_number().over(Window.partitionBy("dump_id").orderBy("line_no")).cast("long").alias("ord"), F.col("k").alias("key"), F.least("bytes", F.lit((1 << 63) - 1).cast("decimal(20,0)")).cast("long").alias("bytes"))
 
     def memory_total(self, last: bool = False) -> DataFrame:
         """(dump_id, total): the first entry of that name, or the last one; 0 without one."""
@@ -229,7 +229,7 @@ class Dump:
         found = self.kind("ets").select("dump_id", "section_id", F.coalesce("key", F.lit("")).alias("owner_pid")).distinct().join(rows.groupBy("dump_id", "section_id").agg(*wanted), ["dump_id", "section_id"], "left")
         buckets = fmt.unsigned(F.col("buckets"))
         out = found.select("dump_id", "section_id", "owner_pid", *(F.coalesce(c, F.lit("")).alias(c) for c in ETS_TEXT.values()), *(_count(F.col(c)).alias(c) for c in ETS_COUNTS.values()), buckets.cast("long").alias("buckets"), *(F.coalesce(F.col(c) == "true", F.lit(False)).alias(c) for c in ETS_FLAGS.values()))
-        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("dump_id").orderBy(F.desc("words"), "name", "owner_pid", "section_id")))
+        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("dump_id").orderBy(F.desc("words"), "name", "owner_pid", "section_id")).cast("long"))
         switches = {c: F.col(c) for c in ETS_FLAGS.values()}
         return out.withColumn("flags", fmt.flags(switches)).withColumn("flag_letters", fmt.flags(switches, letters=True)).withColumn("memory_bytes", fmt.words_to_bytes(F.col("words"))).withColumn("memory_text", fmt.words_text(F.col("words"), short=True))
 

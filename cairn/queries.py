@@ -95,7 +95,7 @@ def proc_display(spark, sf_dir):
     return d.display(d.processes()).select("pid", "display_name", "short_name", "memory_text", F.col("stack_heap_bytes").cast("long").alias("stack_heap_bytes"), "stack_heap_text")
 
 
-@query("""SELECT '<0.' || s_suppkey || '.0>' AS pid, CASE s_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN s_suppkey WHEN 2 THEN 0 ELSE 7 END AS memory, s_suppkey * 2 AS reductions, 0 AS mqueue_len, 'B' || s_suppkey AS name FROM supplier""")
+@query("""SELECT '<0.' || s_suppkey || '.0>' AS pid, CASE s_suppkey % 4 WHEN 0 THEN 0 WHEN 1 THEN s_suppkey WHEN 2 THEN 0 ELSE 7 END AS memory, s_suppkey * 2 AS reductions, CAST(0 AS BIGINT) AS mqueue_len, 'B' || s_suppkey AS name FROM supplier""")
 def proc_defaults(spark, sf_dir):
     s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
     memory = F.when(k % 4 == 0, text("Memory: -", k)).when(k % 4 == 1, text("Memory: +", k)).when(k % 4 == 2, F.lit("Memory: 12x")).otherwise(F.lit("Memory:   7 "))
@@ -194,7 +194,7 @@ MEMORY_SQL = """SELECT row_number() OVER (ORDER BY n_nationkey, part) AS ord, ke
  UNION ALL SELECT n_nationkey, 1, 'total', n_nationkey + 7 FROM nation WHERE n_nationkey % 5 = 0)"""
 
 
-@query(f"SELECT CAST(ord AS INTEGER) AS ord, key, bytes FROM ({MEMORY_SQL})")
+@query(f"SELECT ord, key, bytes FROM ({MEMORY_SQL})")
 def memory_view(spark, sf_dir):
     return memory_dump(spark, sf_dir).memory().drop("dump_id")
 
@@ -254,7 +254,7 @@ def section_query(spark, sf_dir):
     from pyspark.sql import Window
 
     first = table(spark, sf_dir, "documents").filter("lang = 'de'").agg(F.min("doc_id")).first()[0]
-    return document_dump(spark, sf_dir).query("doc_de", f"k:{first}").select("key", "value", F.row_number().over(Window.partitionBy("section_id").orderBy("line_no")).alias("place"))
+    return document_dump(spark, sf_dir).query("doc_de", f"k:{first}").select("key", "value", F.row_number().over(Window.partitionBy("section_id").orderBy("line_no")).cast("long").alias("place"))
 
 
 @query(f"SELECT doc_id, count(*) AS lines, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM ({DOC_LINES}) GROUP BY doc_id")
