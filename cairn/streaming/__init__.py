@@ -1 +1 @@
-"""See README.md."""
+"""Dumps as they arrive."""
