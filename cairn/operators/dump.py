@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fmt, terms
 from ..plans import sections as plan
+from ..sources.shared import new_folder
 from . import heap
 
 #: The keys of process and ETS sections, with what they become.
@@ -19,6 +20,9 @@ ETS_COUNTS = {"Objects": "objects", "Words": "words"}
 ETS_FLAGS = {"Write Concurrency": "write_concurrency", "Read Concurrency": "read_concurrency", "Compressed": "compressed", "Fixed": "fixed"}
 
 
+SECTIONS = "dump_id string, section_id long, key string, line_no long, is_header boolean, value string, kind string"
+
+
 def key_values(lines: DataFrame) -> DataFrame:
     """Adds k and v of `Key: Value` lines, split at the first colon with a blank, the value trimmed; drops others."""
     at = F.instr("value", ": ")
@@ -67,6 +71,14 @@ class Dump:
     def access(self) -> heap.Access:
         return heap.Access(self.addresses)
 
+    def materialized(self) -> Dump:
+        """The same dump with its sections written to the shared folder by kind, for several queries over one."""
+        path = new_folder(self.spark, "sections")
+        self.all_sections.write.partitionBy("kind").parquet(path)
+        out = Dump(self.lines)
+        out.all_sections = self.spark.read.schema(SECTIONS).parquet(path)
+        return out
+
     # sections
 
     def kind(self, *kinds: str) -> DataFrame:

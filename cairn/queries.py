@@ -119,7 +119,7 @@ def detail_dump(spark: SparkSession, sf_dir: str) -> Dump:
 @query(f"""SELECT {PID} AS pid, coalesce(n, 0) + CASE WHEN n IS NULL THEN 0 ELSE 1 END AS n_stack, coalesce(m, 0) AS n_messages, coalesce(n, 0) AS n_dictionary, first AS first_term FROM customer LEFT JOIN
  (SELECT o_custkey, count(*) AS n, count(CASE WHEN o_orderkey % 3 <> 0 THEN 1 END) AS m, arg_min('{{''' || o_orderstatus || ''',' || o_orderkey || '}}', o_orderkey) AS first FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey""")
 def proc_detail_join(spark, sf_dir):
-    out = detail_dump(spark, sf_dir).details()
+    out = detail_dump(spark, sf_dir).materialized().details()
     return out.select("pid", F.size("stack").cast("long").alias("n_stack"), F.size("messages").cast("long").alias("n_messages"), F.size("dictionary").cast("long").alias("n_dictionary"), F.get("stack", F.lit(0))["term_text"].alias("first_term"))
 
 

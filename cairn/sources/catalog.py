@@ -15,12 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import ENGINE_VERSION
 from ..operators import heap
-from ..operators.dump import Dump
+from ..operators.dump import SECTIONS, Dump
 from .lines import read_at, read_lines
 
 #: Fixed values of FNV-1a.
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
-SECTIONS = "dump_id string, section_id long, key string, line_no long, is_header boolean, value string, kind string"
 ROW = "dump_id string, path string, filename string, size long, label string, ingested_at string, engine string"
 
 
