@@ -24,15 +24,16 @@ from .common import WORD, stored, table
 ROUNDS = 24
 
 
-def permuted(index: Column, n: Column, *keys: Column) -> Column:
-    """Where the permutation of 0 .. n - 1 that belongs to the keys puts an index (swap-or-not)."""
+def permuted(index: Column, n: Column, *keys: Column, inverse: bool = False) -> Column:
+    """Where the permutation of 0 .. n - 1 that belongs to the keys puts an index (swap-or-not), or which index it puts there: each round undoes itself."""
 
     def swap(x: Column, r: Column) -> Column:
         other = F.pmod(F.pmod(F.xxhash64(*keys, r), n) + n - x, n)
         bit = F.xxhash64(*keys, r, F.greatest(x, other)).bitwiseAND(F.lit(1))
         return F.when(bit == 1, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), swap)
+    rounds = F.sequence(F.lit(ROUNDS), F.lit(1)) if inverse else F.sequence(F.lit(1), F.lit(ROUNDS))
+    return F.aggregate(rounds, index.cast("long"), swap)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -54,13 +55,13 @@ def _size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def plan(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int = 0, bucket_rows: int = 50_000, with_text: bool = True, **how) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int = 0, bucket_rows: int = 5_000, with_text: bool = True, **how) -> tuple[DataFrame, DataFrame]:
     """Documents with size, source_size, target and at (the place of its first word in its source); and slots (source, block,
     round, words: how many of the block's words it takes, shard)."""
     docs = docs.drop("size", "source_size", "target", "at").withColumn("size", _size(F.col("text"))).withColumn("_mix_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
     docs = stored(docs if with_text else docs.drop("text"), "sized")  # texts are counted once
     by = stored(targets(docs.select("source", "size"), **how), "targets")
-    docs = docs.withColumn("_mix_b", F.pmod("_mix_h", F.lit(max(16, docs.count() // bucket_rows))))
+    docs = docs.withColumn("_mix_b", F.pmod("_mix_h", F.lit(max(64, docs.count() // bucket_rows))))
     sums = docs.groupBy("source", "_mix_b").agg(F.sum("size").alias("_mix_s"))
     sums = sums.withColumn("_mix_from", F.coalesce(F.sum("_mix_s").over(Window.partitionBy("source").orderBy("_mix_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     starts = sums.join(by, sums.source.eqNullSafe(by.source)).select(sums.source.alias("_mix_source"), sums._mix_b.alias("_mix_bucket"), "_mix_from", "source_size", "target")
@@ -70,16 +71,18 @@ def plan(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int =
     n = F.ceil(F.col("source_size") / block_words).cast("long")
     words = F.round("target").cast("long")
     rounds = by.filter("source_size > 0").select("source", "source_size", n.alias("n"), words.alias("words"), F.explode(F.sequence(F.lit(0), F.floor((words - 1) / F.col("source_size")).cast("int"))).alias("round")).filter("words > 0")
-    left = F.col("words") - F.col("round") * F.col("source_size")
-    # in spans of a thousand slots, so that no task writes out a large source's alone
-    spans = rounds.withColumn("left", F.least(left, "source_size")).withColumn("span", F.explode(F.sequence(F.lit(0), F.floor((F.least(F.col("n"), F.ceil(F.col("left") / block_words) + 1) - 1) / 1000).cast("int"))))
-    slots = spans.withColumn("j", F.explode(F.sequence(F.col("span").cast("long") * 1000, F.least(F.col("n"), F.ceil(F.col("left") / block_words) + 1, (F.col("span").cast("long") + 1) * 1000) - 1)))
     keys = (F.lit(seed), F.col("source"), F.col("round"))
-    slots = slots.withColumn("block", permuted(F.col("j"), F.col("n"), *keys)).withColumn("length", F.when(F.col("block") == F.col("n") - 1, F.col("source_size") - (F.col("n") - 1) * block_words).otherwise(F.lit(block_words)))
-    short = slots.filter("block = n - 1").select(F.col("source").alias("_mix_source"), F.col("round").alias("_mix_round"), F.col("j").alias("_mix_j"), F.col("length").alias("_mix_length"))
-    slots = slots.join(short, slots.source.eqNullSafe(F.col("_mix_source")) & (slots.round == F.col("_mix_round")), "left")
-    begins = F.col("j") * block_words - F.when(F.col("j") > F.col("_mix_j"), block_words - F.col("_mix_length")).otherwise(0)
-    slots = slots.withColumn("words", F.least(F.col("length"), F.col("left") - begins)).filter("words > 0")
+    short = permuted(F.col("n") - 1, F.col("n"), *keys, inverse=True)  # the slot that gets the last block, which is shorter
+    rounds = rounds.withColumn("left", F.least(F.col("words") - F.col("round") * F.col("source_size"), "source_size")).withColumn("tail", F.col("source_size") - (F.col("n") - 1) * block_words).withColumn("short", short)
+    slots_of = F.least(F.col("n"), F.ceil(F.col("left") / block_words) + 1)
+    # in spans of a thousand slots, dealt out before they are written out, so that no task writes out a large source's alone
+    spans = rounds.withColumn("span", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((slots_of - 1) / 1000))))
+    spans = spans.repartition(max(2, int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "source", "round", "span")
+    slots = spans.withColumn("j", F.explode(F.sequence(F.col("span") * 1000, F.least(slots_of, (F.col("span") + 1) * 1000) - 1)))
+    begins = F.col("j") * block_words - F.when(F.col("j") > F.col("short"), block_words - F.col("tail")).otherwise(0)
+    length = F.when(F.col("j") == F.col("short"), F.col("tail")).otherwise(F.lit(block_words))
+    slots = slots.withColumn("words", F.least(length, F.col("left") - begins)).filter("words > 0")
+    slots = slots.withColumn("block", permuted(F.col("j"), F.col("n"), *keys))
     shard = F.pmod(F.xxhash64(F.lit(seed + 1), "source", "round", "j"), F.lit(shards)).cast("int")
     return docs, slots.select("source", "block", "round", "words", shard.alias("shard"))
 

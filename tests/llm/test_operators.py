@@ -400,3 +400,9 @@ def test_toxicity(spark, empty):
     assert got[1000] < 0.5 and got[1001] == got[1000] and got[1002] >= 0.5
     assert toxicity.scored(empty, lab).count() == 0
     assert {x.score for x in toxicity.scored(docs.limit(5), lab.limit(0)).collect()} == {0.0}
+
+
+def test_permutation_undone(spark):
+    there = mixing.permuted(F.col("id"), F.lit(50), F.lit("s"))
+    back = spark.range(50).select("id", there.alias("p")).select("id", mixing.permuted(F.col("p"), F.lit(50), F.lit("s"), inverse=True).alias("q"))
+    assert all(r.id == r.q for r in back.collect())
