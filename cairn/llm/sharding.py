@@ -49,7 +49,9 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 0, bucket_
     mark = F.xxhash64(F.lit(seed), row_id, text)
     scattered = held.select("row", mark.alias("mark"), F.pmod(F.xxhash64(F.lit(seed + 1), mark), F.lit(buckets)).alias("bucket"))
     counts = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
-    drawn = prefix_sums(counts, "bucket", "n", "start").select("bucket", "start", fisher_yates(F.col("n"), F.lit(seed + 2), F.col("bucket")).alias("order"))
+    # dealt out again, as the draws take longer than their small rows let expect, and never broadcast: they grow with the table
+    dealt = prefix_sums(counts, "bucket", "n", "start").repartition(max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket")
+    drawn = dealt.select("bucket", "start", fisher_yates(F.col("n"), F.lit(seed + 2), F.col("bucket")).alias("order")).hint("merge")
     ranked = scattered.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("mark", row_id)))
     placed = ranked.join(drawn, "bucket").select("row", (F.col("start") + F.element_at("order", F.col("rank"))).alias("place"))
     each, longer = divmod(total.rows, shards)
