@@ -55,11 +55,11 @@ def _size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def plan(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int = 0, bucket_rows: int = 5_000, with_text: bool = True, **how) -> tuple[DataFrame, DataFrame]:
-    """Documents with size, source_size, target and at (the place of its first word in its source); and slots (source, block,
+def plan(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int = 0, bucket_rows: int = 5_000, **how) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, source and _mix_h, a hash of id and text) with size, source_size, target and at (the place of its first word in its source); and slots (source, block,
     round, words: how many of the block's words it takes, shard)."""
-    docs = docs.drop("size", "source_size", "target", "at").withColumn("size", _size(F.col("text"))).withColumn("_mix_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    docs = stored(docs if with_text else docs.drop("text"), "sized")  # texts are counted once
+    docs = docs.select("doc_id", "source", _size(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_mix_h"))
+    docs = stored(docs, "sized")  # texts are counted once and stay where they are
     by = stored(targets(docs.select("source", "size"), **how), "targets")
     docs = docs.withColumn("_mix_b", F.pmod("_mix_h", F.lit(max(64, docs.count() // bucket_rows))))
     sums = docs.groupBy("source", "_mix_b").agg(F.sum("size").alias("_mix_s"))
@@ -67,7 +67,7 @@ def plan(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int =
     starts = sums.join(by, sums.source.eqNullSafe(by.source)).select(sums.source.alias("_mix_source"), sums._mix_b.alias("_mix_bucket"), "_mix_from", "source_size", "target")
     inner = Window.partitionBy("source", "_mix_b").orderBy("_mix_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("_mix_in", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    docs = docs.join(starts, docs.source.eqNullSafe(F.col("_mix_source")) & (docs._mix_b == F.col("_mix_bucket"))).withColumn("at", F.col("_mix_from") + F.col("_mix_in")).drop("_mix_h", "_mix_b", "_mix_in", "_mix_from", "_mix_source", "_mix_bucket")
+    docs = docs.join(starts, docs.source.eqNullSafe(F.col("_mix_source")) & (docs._mix_b == F.col("_mix_bucket"))).withColumn("at", F.col("_mix_from") + F.col("_mix_in")).drop("_mix_b", "_mix_in", "_mix_from", "_mix_source", "_mix_bucket")
     n = F.ceil(F.col("source_size") / block_words).cast("long")
     words = F.round("target").cast("long")
     rounds = by.filter("source_size > 0").select("source", "source_size", n.alias("n"), words.alias("words"), F.explode(F.sequence(F.lit(0), F.floor((words - 1) / F.col("source_size")).cast("int"))).alias("round")).filter("words > 0")
@@ -100,15 +100,28 @@ def taken_spans(docs: DataFrame, slots: DataFrame, block_words: int) -> DataFram
     return met.groupBy("source", "at").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(span)).alias("spans"))
 
 
-def mix(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int = 0, **how) -> DataFrame:
-    """All columns of docs (every row; its text only with_text), and size, source_size, target, taken, spans."""
-    docs = docs.drop("taken", "spans")
+def placed(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int = 0, **how) -> DataFrame:
+    """(doc_id, source, _mix_h, size, source_size, target, taken, spans) for every row of docs; no text moves."""
     rows, slots = plan(docs, block_words, shards, seed, **how)
     spans = taken_spans(rows, slots, block_words).select(F.col("source").alias("_mix_source"), F.col("at").alias("_mix_at"), "taken", "spans")
     out = rows.join(spans, rows.source.eqNullSafe(F.col("_mix_source")) & (rows.at == F.col("_mix_at")) & (rows["size"] > 0), "left")
     return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("_mix_source", "_mix_at", "at")
 
 
+def mix(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int = 0, **how) -> DataFrame:
+    """All columns of docs (every row), and size, source_size, target, taken, spans. Texts are shuffled once, to meet what is taken of them."""
+    results = ["size", "source_size", "target", "taken", "spans"]
+    found = placed(docs, block_words, shards, seed, **how).groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("_mix_h").alias("_mix_k"))
+    found = found.agg(F.collect_list(F.struct(*results)).alias("_mix_found"))  # rows alike have one entry each
+    docs = docs.drop(*results).withColumn("_mix_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    met = docs.join(found, docs.doc_id.eqNullSafe(F.col("_mix_id")) & docs.source.eqNullSafe(F.col("_mix_source")) & (docs._mix_h == F.col("_mix_k")), "left")
+    several = F.size("_mix_found") > 1
+    alike = met.filter(several).withColumn("_mix_n", F.row_number().over(Window.partitionBy("doc_id", "source", "_mix_h").orderBy("_mix_h")))
+    met = met.filter(~several).withColumn("_mix_n", F.lit(1)).unionByName(alike)
+    met = met.withColumn("_mix_own", F.element_at("_mix_found", F.col("_mix_n")))
+    return met.select(*(c for c in docs.columns if c != "_mix_h"), *(F.col("_mix_own")[c].alias(c) for c in results))
+
+
 def shard_counts(docs: DataFrame, block_words: int = 512, shards: int = 16, seed: int = 0, **how) -> DataFrame:
     """(shard, source, blocks): the multinomial draw."""
     return plan(docs, block_words, shards, seed, **how)[1].groupBy("shard", "source").agg(F.count("*").alias("blocks"))
@@ -128,4 +141,4 @@ def mixed_texts(docs: DataFrame, block_words: int = 512, shards: int = 16, seed:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), with_text=False).select("doc_id", "size", "source_size", "target", "taken")
+    return placed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
