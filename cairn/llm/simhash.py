@@ -133,6 +133,8 @@ def _paired(threshold: int, run: int):
         for batch in batches:
             key = np.concatenate((held_key, batch.column(0).to_numpy()))
             fp = np.concatenate((held_fp, batch.column(1).to_numpy().view(np.uint64)))
+            if not len(key):
+                continue
             if crowded is not None:  # the batch before ended within a crowded key
                 n = np.searchsorted(key, crowded, side="right") if key[0] == crowded else 0
                 yield out(fp[:n], None)
