@@ -91,7 +91,7 @@ def taken_spans(docs: DataFrame, slots: DataFrame, block_words: int) -> DataFram
     """(source, at, taken, spans): for each document that is taken, its words taken and the spans (round, shard, from, words) in it."""
     end = F.col("at") + F.col("size")
     pieces = docs.filter("size > 0").select("source", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((end - 1) / block_words))).alias("block"))
-    slots = slots.select(F.col("source").alias("_mix_source"), F.col("block").alias("_block"), "round", "words", "shard")
+    slots = slots.select(F.col("source").alias("_mix_source"), F.col("block").alias("_block"), "round", "words", "shard").hint("merge")  # they grow with the corpus: never broadcast
     met = pieces.join(slots, pieces.source.eqNullSafe(F.col("_mix_source")) & (pieces.block == F.col("_block")))
     first = F.greatest(F.col("at"), F.col("block") * block_words)
     last = F.least(end, F.col("block") * block_words + F.col("words"))
