@@ -241,6 +241,7 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = True, rows_
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, column, *([pa.array(tokens, pa.string())] if decoded else [])], names=[*batch.schema.names, "ids", *(["decoded"] if decoded else [])])
+        loaded.cache_clear()  # a worker may go on with another operator's tasks
 
     added = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *added[: 1 + decoded]]))

@@ -25,7 +25,7 @@ from .superkmers import LETTERS, POWERS, Strings, covered, exchange
 
 BYTES, WORDS = 200, 13
 #: Bytes and words of a minimiser; bytes of strings that are sorted together, or of one larger group.
-MINIMISER, WORD_MINIMISER, TOGETHER = 24, 3, 1 << 20
+MINIMISER, WORD_MINIMISER, TOGETHER = 24, 3, 1 << 19
 
 
 class Contents:
