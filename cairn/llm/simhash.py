@@ -6,8 +6,8 @@ are paired; by the triangle inequality two fingerprints at distance d differ by
 whose largest coordinate difference is above the threshold is discarded; what survives is verified on the bits.
 
 For a threshold t the masks of exact_masks() miss nothing: of t + 2 blocks, two fingerprints agree in two at least.
-For wide thresholds, where no such masks exist, the tables keep bits drawn at random, and rows of a key are compared with
-the key's leaders only (stars()): near_duplicates() is exact, without_near_duplicates() verifies what it finds.
+Wide thresholds have no such masks, so without_near_duplicates() does without fingerprints: sets of shingles that are
+similar enough share one of their first shingles in a common order, and all that meet there are verified. Both are exact.
 
 A key that very many distinct fingerprints share is not paired in one task: its members go on to a join by one-bit
 variants (two fingerprints at distance 2 or less share one), which is linear, exact and spread by value.
@@ -18,6 +18,7 @@ doc_id is kept and gives no component id. Repeated rows and ids each give a row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -74,12 +75,6 @@ def exact_masks(threshold: int = 2) -> list[int]:
     return [x | y for x, y in combinations(blocks, 2)]
 
 
-def sampled_masks(tables: int, bits: int, seed: int = 1) -> list[int]:
-    """Masks that keep that many bits drawn at random, for thresholds too wide for exact_masks()."""
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(i) for i in rng.choice(64, bits, replace=False)) for _ in range(tables)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -190,69 +185,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, threshold: int = 2, run: int =
     return docs.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _starred(threshold: int):
-    """Arrow batches of (key, fp) sorted by key -> (a, b): each fingerprint and the first leader of its key within the threshold; one without is a leader. Of a key only the leaders are held."""
-    pivots = np.array(PIVOTS, np.uint64)
-
-    def within(x: np.ndarray, leader: np.ndarray) -> np.ndarray:
-        near = np.ones(len(x), bool)
-        for p in pivots:
-            at = np.flatnonzero(near)
-            if len(at) < len(x) // 16:
-                break
-            lead = leader[at] if leader.ndim else leader
-            near[at] = np.abs(np.bitwise_count(x[at] ^ p).astype(np.int8) - np.bitwise_count(lead ^ p).astype(np.int8)) <= threshold
-        at = np.flatnonzero(near)
-        near[at] = np.bitwise_count(x[at] ^ (leader[at] if leader.ndim else leader)) <= threshold
-        return near
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            a, b, active = [], [], np.arange(len(key))
-            if len(key) and key[0] == held_key:
-                n = int(np.searchsorted(key, held_key, side="right"))
-                rest = np.arange(n)
-                for leader in held:
-                    near = within(fp[rest], leader)
-                    a.append(fp[rest[near]])
-                    b.append(np.full(int(near.sum()), leader))
-                    rest = rest[~near]
-                active = np.concatenate((rest, np.arange(n, len(key))))
-            if not len(key):
-                continue
-            if key[-1] != held_key:
-                held_key, held = key[-1], np.zeros(0, np.uint64)
-            while len(active):
-                first = np.concatenate(([True], key[active[1:]] != key[active[:-1]]))
-                leader = active[first][np.cumsum(first) - 1]
-                near = within(fp[active], fp[leader])
-                met = near & ~first
-                a.append(fp[active[met]])
-                b.append(fp[leader[met]])
-                if key[active[-1]] == held_key:
-                    held = np.append(held, fp[leader[-1]])
-                active = active[~near]
-            x, y = (np.concatenate(v) if v else np.zeros(0, np.uint64) for v in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
-
-    return work
-
-
-def stars(fps: DataFrame, threshold: int, masks: list[int]) -> DataFrame:
-    """(a, b): links between distinct fingerprints within the threshold, under each mask's key a member with its leader."""
-    fp = F.col("fp")
-    keys = [F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)]
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("key", "fp")
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_starred(threshold), "a long, b long").distinct()
+def _set(data: bytes, k: int) -> np.ndarray:
+    """The sorted XXH64 hashes of a text's shingles, each once."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(x, 42) for x in shingles(data, k)], "<u8"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh64_intdigest
     for batch in batches:
-        packed = [np.unique(np.array([digest(x, 42) for x in shingles(t, k)], "<u8")).tobytes() for t in texts(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_set(t, k).tobytes() for t in texts(batch.column(1))], pa.binary())], names=["doc_id", "shingles"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -265,34 +206,158 @@ def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, threshold: int = 12, tables: int = 64) -> DataFrame:
-    """(doc_id, kept_id): each document that has a near duplicate with a smaller id, and the smallest id of its group.
-
-    Equal texts are joined by a 128-bit hash. The others meet through their fingerprints over k-word shingles (threshold
-    bits of 64 apart at most, in one of the tables, whose keys get a bit longer as the number of fingerprints doubles),
-    and are linked if the Jaccard similarity of their sets of shingles is `similarity` or more. Groups are the components."""
+def frequent(docs: DataFrame, k: int, rate: int = 16, most: int = 200_000) -> np.ndarray:
+    """Hashes of shingles that many of one in `rate` documents hold, the most frequent last. They set the order of shingles, on which the time depends and the result does not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = texts(batch.column(1))
-            fp = np.fromiter((simhash(x, k) for x in data), np.uint64, len(data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in data], pa.binary()), pa.array(fp.view(np.int64))], names=["doc_id", "mark", "fp"])
+            for t in texts(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(_set(t, k).view(np.int64))], names=["shingle"])
+
+    seen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0).mapInArrow(run, "shingle long").groupBy("shingle").count()
+    found = seen.filter("count > 1").orderBy(F.desc("count"), "shingle").limit(most).toArrow()
+    return found.column("shingle").to_numpy().view(np.uint64)[::-1]
+
+
+def prefix(own: np.ndarray, known: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, in an order that all sets share: a set that is similar enough has one of its own first ones among them."""
+    n = len(own)
+    order = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        order = np.where(known[at] == own, rank[at] + 1, 0)
+    return own[np.lexsort((own, order))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches sorted by the first one, dealt anew so that rows of one key come together."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        if last or (held and held[0][0][0] != cols[0][0]):
+            held.append([c[:last] for c in cols])
+            yield [np.concatenate(c) for c in zip(*held)]
+            held = []
+        held.append([c[last:] for c in cols])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _possible(size: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets i and j of these sizes can be similar if the shingle at these places is the first they share."""
+    n, m = size[i].astype(np.int64), size[j].astype(np.int64)
+    return np.minimum(n - at[i], m - at[j]) >= similarity / (1 + similarity) * (n + m) - 1e-6
+
+
+def _neighbours(similarity: float):
+    """Arrow batches of (key, size, at, id) sorted by key, size and id -> rows whose key others have too, with the one before and the key's first where those can be similar."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, size, at, own in _whole(batches):
+            place = np.arange(len(key))
+            first = np.concatenate(([True], key[1:] != key[:-1]))
+            run = np.cumsum(first) - 1
+            lead, before = place[first][run], np.maximum(place - 1, 0)
+            many = np.bincount(run)[run] > 1
+            columns = [pa.array(x[many]) for x in (key, size, at, own)]
+            for other in (before, lead):
+                bad = first | (own[other] == own) | ~_possible(size, at, other, place, similarity)
+                columns.append(pa.array(own[other][many], mask=bad[many]))
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "at", "id", "before", "lead"])
+
+    return work
+
+
+def _across(similarity: float, few: int = 64, block: int = 1 << 18):
+    """Arrow batches of (key, size, at, id, root) sorted by key, size and id -> (a, b): all pairs of a key that have different roots and can be similar."""
+
+    def out(own: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(own[i], own[j])), pa.array(np.minimum(own[i], own[j]))], names=["a", "b"])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, size, at, own, root in _whole(batches):
+            run = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+            n = np.bincount(run)
+            small = np.flatnonzero(n[run] <= few)
+            left = n[run] - (np.arange(len(key)) - np.searchsorted(run, run))  # rows of the key from here on
+            d, i = 1, small
+            while len(i := i[left[i] > d]):
+                ok = (root[i] != root[i + d]) & _possible(size, at, i, i + d, similarity)
+                yield out(own, i[ok], i[ok] + d)
+                d += 1
+            for r in np.flatnonzero(n > few):
+                lo, hi = np.searchsorted(run, [r, r + 1])
+                roots, which, times = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
+                most = np.argmax(times)
+                found, held = [], 0
+                for i in np.flatnonzero(which != most):  # pairs within the key's largest group need no look
+                    j = np.arange(lo, lo + np.searchsorted(size[lo:hi], size[lo + i] / similarity + 1e-6, side="right"))
+                    j = j[(which[j - lo] == most) | (which[j - lo] != which[i]) & (j > lo + i)]
+                    j = j[_possible(size, at, np.full(len(j), lo + i), j, similarity)]
+                    found.append((np.full(len(j), lo + i), j))
+                    held += len(j)
+                    if held >= block:
+                        yield out(own, *map(np.concatenate, zip(*found)))
+                        found, held = [], 0
+                if found:
+                    yield out(own, *map(np.concatenate, zip(*found)))
+
+    return work
+
+
+def duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, kept_id): each document that has a near duplicate with a smaller id, and the smallest id of its group.
+
+    Two documents are linked if the Jaccard similarity of their sets of k-word shingles is `similarity` or more; groups are
+    the components of all such links. Equal sets are joined by a 128-bit hash. Of the others, two that are similar enough
+    share one of the first shingles of each (prefix()), whatever the number of documents: rows of one such shingle are
+    paired with the row before and the first, what is similar is grouped, and then all pairs across groups are looked at."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    rows = stored(docs.mapInArrow(run, "doc_id long, mark binary, fp long"), "fingerprints")
-    distinct = rows.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"))
-    copies = rows.join(distinct.select("mark", "rep"), "mark").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    heads = distinct.groupBy("fp").agg(F.min("rep").alias("head"))
-    alike = distinct.join(heads, "fp").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    bits = max(16, heads.count().bit_length())
-    near = stars(heads.select("fp"), threshold, sampled_masks(tables, min(bits, 40)))
-    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    candidates = cut(alike.union(near).distinct())
-    named = candidates.select("a").union(candidates.select("b")).distinct()
-    sets = cut(docs.join(named, docs.doc_id == named.a, "left_semi").mapInArrow(lambda x: _sets(x, k), "doc_id long, shingles binary"))
-    first, second = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    linked = candidates.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(lambda x: _similar(x, similarity), "a long, b long")
-    groups = components(copies.union(linked))
+    by_count = frequent(docs, k)
+    known = np.argsort(by_count)
+    sent = docs.sparkSession.sparkContext.broadcast((by_count[known], known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, sizes, firsts = [], [], []
+            for x in texts(batch.column(1)):
+                own = _set(x, k)
+                marks.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                firsts.append(prefix(own, *sent.value, similarity).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], names=["doc_id", "mark", "size", "first"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                some = batch.slice(start, 1000)
+                parts = [np.frombuffer(x, np.int64) for x in some.column(2).to_pylist()]
+                n = [len(x) for x in parts]
+                at = np.concatenate([np.arange(x, dtype=np.int32) for x in n])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(some.column(1).to_numpy(), n)), pa.array(at), pa.array(np.repeat(some.column(0).to_numpy(), n))], names=["key", "size", "at", "id"])
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        named = pairs.select("a").union(pairs.select("b")).distinct()
+        sets = cut(docs.join(named, docs.doc_id == named.a, "left_semi").mapInArrow(lambda x: _sets(x, k), "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+        first, second = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+        return cut(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(lambda x: _similar(x, similarity), "a long, b long"))
+
+    rows = stored(docs.mapInArrow(run, "doc_id long, mark binary, size int, first binary"), "shingles")
+    distinct = rows.groupBy("mark").agg(F.min("doc_id").alias("rep"))
+    copies = rows.select("doc_id", "mark").join(distinct, "mark").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    heads = rows.join(distinct.select("rep", F.col("mark").alias("_mark")), (F.col("doc_id") == F.col("rep")) & (F.col("mark") == F.col("_mark"))).select("doc_id", "size", "first")
+    keys = heads.mapInArrow(spread, "key long, size int, at int, id long").repartition("key").sortWithinPartitions("key", "size", "id")
+    met = stored(keys.mapInArrow(_neighbours(similarity), "key long, size int, at int, id long, before long, lead long"), "met")
+    pairs = met.select("id", F.explode(F.array("before", "lead")).alias("o")).filter("o is not null").select(F.greatest("id", "o").alias("a"), F.least("id", "o").alias("b"))
+    near = cut(pairs.distinct())
+    linked = alike(near)
+    grouped = met.select("key", "size", "at", "id").join(components(linked), F.col("id") == F.col("node"), "left").select("key", "size", "at", "id", F.coalesce("root", "id").alias("root"))
+    across = grouped.repartition("key").sortWithinPartitions("key", "size", "id").mapInArrow(_across(similarity), "a long, b long").distinct()
+    rest = alike(cut(across.join(near, ["a", "b"], "left_anti")))
+    groups = components(copies.union(linked).union(rest))
     return groups.filter("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
 
 

@@ -113,6 +113,28 @@ def test_near_duplicates_stage(docs, empty):
     assert simhash.without_near_duplicates(empty).count() == 0
 
 
+def grouped(rows, k=5, least=0.8):
+    """(doc_id, smallest id of its group) by brute force."""
+    sets = {i: set(simhash.shingles(t.encode(), k)) for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+    return {(i, r) for i, r in root.items() if i != r}
+
+
+def test_near_duplicates_far_apart_in_bits(spark):
+    rows = []
+    for i in range(150):
+        w = [f"w{i}x{j}" for j in range(24)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(["another", *w[1:-1], "other"]))]
+    assert sum((simhash.simhash(a[1].encode(), 5) ^ simhash.simhash(b[1].encode(), 5)).bit_count() > 12 for a, b in zip(rows[::2], rows[1::2])) > 0
+    got = {tuple(r) for r in simhash.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == grouped(rows) and len(got) == 150
+
+
 # Merkle trees
 
 
