@@ -135,6 +135,28 @@ def test_near_duplicates_far_apart_in_bits(spark):
     assert got == grouped(rows) and len(got) == 150
 
 
+def test_near_duplicates_of_others_than_the_leader(spark):
+    r, rows = random.Random(3), []
+    for i in range(25):  # one shingle decides all fingerprints
+        w = [r.choice(WORDS) for _ in range(60)]
+        for j in range(2):
+            rows.append((len(rows), " ".join(["same"] * 200 + w)))
+            w[r.randrange(60)] = f"changed{i}"
+    line = " ".join(r.choice(WORDS) for _ in range(40))  # a template whose copies are alike in part only
+    for i in range(120):
+        w = line.split()
+        for j in r.sample(range(40), r.choice([0, 1, 1, 2, 3])):
+            w[j] = r.choice("pqrst")
+        rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(x) for x in simhash.duplicates(docs).collect()} == grouped(rows)
+    batch = [np.zeros(len(rows), np.int64), np.array([len(set(simhash.shingles(t.encode(), 5))) for _, t in rows], np.int32), np.zeros(len(rows), np.int32), np.arange(len(rows)), np.arange(len(rows)) // 30]
+    batch = [x[np.argsort(batch[1], kind="stable")] for x in batch]
+    table = simhash.pa.RecordBatch.from_arrays([simhash.pa.array(x) for x in batch], names=["key", "size", "at", "id", "root"])
+    few, many = ({tuple(p.values()) for b in simhash._across(0.8, few=n)(iter([table.slice(0, 7), table.slice(7)])) for p in b.to_pylist()} for n in (1, 1000))
+    assert few == many != set()
+
+
 # Merkle trees
 
 
