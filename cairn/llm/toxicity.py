@@ -8,6 +8,7 @@ corpus finds the likeliest letters; runs of single characters are decoded as one
 The lexicon is learned from labelled documents of the training folds: words and word beginnings, by how many toxic and
 other documents hold them, on a bounded sample (`sample` documents of each label, drawn by a hash). A document's
 features are its largest word scores and their number by its length; a logistic regression turns them into a score.
+A drawn document counts for as many as its label has for each one drawn, so the share of toxic ones is the labels' own.
 It is fitted on scores that each half of the sample gets from the other half's lexicon. What is learned or counted of
 the corpus (the character model) covers all documents.
 
@@ -156,13 +157,13 @@ def lexicon(pos: Counter, neg: Counter, n_pos: int, n_neg: int, most: int = LEXI
     return {f: s for s, f in rows[:most]}
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
-    """Logistic regression by Newton's method."""
+def regression(x: np.ndarray, y: np.ndarray, each: np.ndarray | float = 1.0, ridge: float = 1.0) -> list[float]:
+    """Logistic regression by Newton's method; each: how many documents a row stands for."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        g = x.T @ (each * (p - y)) + ridge * w
+        h = (x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -187,6 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     letters = character_table(docs)
     labels = labels.filter(fold(F.col("doc_id")) != 0).filter("toxic in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("_draw"))
     drawn = labels.filter("toxic = 1").orderBy("_draw", "_id").limit(sample).union(labels.filter("toxic = 0").orderBy("_draw", "_id").limit(sample))
+    of_label = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     rows = docs.join(F.broadcast(drawn), docs.doc_id == drawn._id).select("text", "toxic", F.pmod(F.shiftright("_draw", 7), F.lit(2)).cast("int").alias("half"))
     table_ = docs.sparkSession.sparkContext.broadcast(letters)
 
@@ -226,7 +228,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     sample_rows = rows.mapInArrow(vectors, "x array<double>, y int").toArrow()
     x = np.array(sample_rows.column("x").to_pylist())
     y = np.array(sample_rows.column("y").to_pylist(), float)
-    return letters, of((0, 1)), regression(x, y)
+    each = np.where(y == 1, *(of_label[k] / min(of_label[k], sample) for k in (1, 0)))
+    return letters, of((0, 1)), regression(x, y, each)
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -446,6 +446,19 @@ def test_toxicity(spark, empty):
     assert {x.score for x in toxicity.scored(docs.limit(5), lab.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_of_a_sample(spark):
+    rows, labels = [], []
+    for i in range(800):  # the word is in all 100 toxic documents and in 200 others
+        rows.append((i, " ".join(WORDS[i % 20 : i % 20 + 20] + ["wretch"] * (i < 300))))
+        labels.append((i, int(i < 100)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    for sample in (6000, 70):
+        got = [x.score for x in toxicity.scored(docs, lab, sample).collect() if x.doc_id < 300]
+        assert 0.2 < np.median(got) < 0.45, sample
+    assert toxicity.regression(np.ones((3, 1)), np.array([1.0, 0, 0]), np.array([2.0, 3, 1])) == pytest.approx(toxicity.regression(np.ones((6, 1)), np.array([1.0, 1, 0, 0, 0, 0])))
+
+
 def test_permutation_undone(spark):
     there = mixing.permuted(F.col("id"), F.lit(50), F.lit("s"))
     back = spark.range(50).select("id", there.alias("p")).select("id", mixing.permuted(F.col("p"), F.lit(50), F.lit("s"), inverse=True).alias("q"))
