@@ -229,6 +229,20 @@ def prefix(own: np.ndarray, known: np.ndarray, rank: np.ndarray, similarity: flo
     return own[np.lexsort((own, order))[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
+def _sketch(own: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of 32 parts."""
+    return np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=32).astype("<u4").tobytes()
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of sets that can be similar: no more can be shared than the smaller count of each part."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, 32).astype(np.int64) for i in (2, 3))
+        most = np.minimum(x, y).sum(1)
+        keep = most >= least * (x.sum(1) + y.sum(1) - most) - 1e-6
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of batches sorted by the first one, dealt anew so that rows of one key come together."""
     held: list[list[np.ndarray]] = []
@@ -322,13 +336,14 @@ def duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, sizes, firsts = [], [], []
+            marks, sizes, firsts, counts = [], [], [], []
             for x in texts(batch.column(1)):
                 own = _set(x, k)
                 marks.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
                 firsts.append(prefix(own, *sent.value, similarity).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary())], names=["doc_id", "mark", "size", "first"])
+                counts.append(_sketch(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "mark", "size", "first", "sketch"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,12 +355,14 @@ def duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(some.column(1).to_numpy(), n)), pa.array(at), pa.array(np.repeat(some.column(0).to_numpy(), n))], names=["key", "size", "at", "id"])
 
     def alike(pairs: DataFrame) -> DataFrame:
+        first, second = rows.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), rows.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
+        pairs = cut(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(lambda x: _bounded(x, similarity), "a long, b long").distinct())
         named = pairs.select("a").union(pairs.select("b")).distinct()
         sets = cut(docs.join(named, docs.doc_id == named.a, "left_semi").mapInArrow(lambda x: _sets(x, k), "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
         first, second = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
         return cut(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(lambda x: _similar(x, similarity), "a long, b long"))
 
-    rows = stored(docs.mapInArrow(run, "doc_id long, mark binary, size int, first binary"), "shingles")
+    rows = stored(docs.mapInArrow(run, "doc_id long, mark binary, size int, first binary, sketch binary"), "shingles")
     distinct = rows.groupBy("mark").agg(F.min("doc_id").alias("rep"))
     copies = rows.select("doc_id", "mark").join(distinct, "mark").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     heads = rows.join(distinct.select("rep", F.col("mark").alias("_mark")), (F.col("doc_id") == F.col("rep")) & (F.col("mark") == F.col("_mark"))).select("doc_id", "size", "first")
