@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .operators.dump import Dump
-from .sources.lines import numbered
 
-#: Lines a row of a table may take.
-STRIDE = 1 << 16
+#: Lines of a row that are put in order in one place.
+BLOCK = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +20,10 @@ def text(*parts: Column | str | int) -> Column:
 
 
 def lines(df: DataFrame, row: Column, values: Column, part: int = 0) -> DataFrame:
-    """(dump_id, line_no, value): an array of lines for each row, in the order of a whole number; parts follow each other."""
-    return df.select((F.lit(part) * (1 << 50) + row.cast("long") * STRIDE).alias("_row"), F.posexplode(values).alias("_n", "value")).select(F.lit("d").alias("dump_id"), (F.col("_row") + F.col("_n")).alias("line_no"), "value")
+    """(dump_id, block, seq, value), the form of read_lines(): an array of lines for each row, in the order of a whole number; parts follow each other. A row may take any number of blocks."""
+    n = F.col("_n").cast("long")
+    block = F.struct(F.lit(part).alias("part"), F.col("_row").alias("row"), F.floor(n / BLOCK).alias("piece"))
+    return df.select(row.cast("long").alias("_row"), F.posexplode(values).alias("_n", "value")).select(F.lit("d").alias("dump_id"), block.alias("block"), n.alias("seq"), "value")
 
 
 def dump(*parts: DataFrame, end: bool = True) -> Dump:
@@ -30,8 +31,8 @@ def dump(*parts: DataFrame, end: bool = True) -> Dump:
     for p in parts[1:]:
         out = out.union(p)
     if end:
-        out = out.union(out.sparkSession.createDataFrame([("d", 1 << 60, "=end")], out.schema))
-    return Dump(numbered(out))
+        out = out.union(lines(out.sparkSession.range(1), F.lit(0), F.array(F.lit("=end")), 1 << 30))
+    return Dump(out)
 
 
 def pid(n: Column) -> Column:

@@ -372,7 +372,8 @@ def chain_dump(spark: SparkSession, sf_dir: str, missing: bool = False) -> Dump:
     """Each order's parts as a list, one heap word a cell."""
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
     k = F.col("l_orderkey")
-    at = lambda i: F.lower(F.hex(k * 256 + i.cast("long") * 16 + 16))
+    at = lambda i: F.lower(F.hex(k * (1 << 24) + i.cast("long") * 16 + 16))
+    items = items.withColumn("items", F.when(F.size("items") < (1 << 20) - 1, F.col("items")).otherwise(F.raise_error(F.concat(F.lit("too many items for the addresses of order "), k.cast("string")))))
     last = F.when(F.lit(missing) & (k % 2 == 0), F.lit("Hdeadbeef")).otherwise("N")
     cells = F.transform("items", lambda x, i: F.concat(at(i), F.lit(":lI"), (x["l_partkey"] + 1000).cast("string"), F.lit("|"), F.when(i + 1 < F.size("items"), F.concat(F.lit("H"), at(i + 1))).otherwise(last)))
     return dump(lines(items, k, F.array(text("=probe:", k), text("y0:H", at(F.lit(0))))), lines(items, k, F.concat(F.array(text("=proc_heap:", k)), cells), 1))

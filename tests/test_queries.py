@@ -26,6 +26,24 @@ def test_agrees_with_sql(spark, name):
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want.select(*columns).fetchall()))
 
 
+def test_rows_of_many_lines(spark):
+    rows = spark.createDataFrame([(1, 70_000), (2, 3), (3, 140_000)], "k long, n long")
+    F = fmt.F
+    values = F.concat(F.array(queries.text("=part:", F.col("k"))), F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: queries.text(F.col("k"), " ", i)))
+    d = queries.dump(queries.lines(rows, F.col("k"), values), queries.lines(rows, F.col("k"), F.array(queries.text("=more:", F.col("k")), F.lit("x")), 1))
+    got = d.section_lines.filter("kind = 'part' and not is_header").select("key", "line_no", "value").orderBy("line_no").collect()
+    assert [r.value for r in got] == [f"{k} {i}" for k, n in ((1, 70_000), (2, 3), (3, 140_000)) for i in range(1, n + 1)]
+    assert all(r.value.startswith(r.key + " ") for r in got)
+    assert [r.key for r in d.section_lines.filter("kind = 'more' and not is_header").orderBy("line_no").collect()] == ["1", "2", "3"]
+
+
+def test_chain_of_many_items(spark, tmp_path):
+    rows = [(k, i, 10 * k + i) for k in (1, 2, 3) for i in range(40)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = dict(map(tuple, queries.pointer_chase(spark, str(tmp_path)).select("key", "text").collect()))
+    assert got == {str(k): "[" + ",".join(str(1000 + 10 * k + i) for i in range(40)) + "]" for k in (1, 2, 3)}
+
+
 def test_formatting(spark):
     F = fmt.F
     one = spark.range(1)
