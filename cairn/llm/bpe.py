@@ -1,7 +1,8 @@
 """BPE encoding and decoding by dynamic programming over prefixes.
 
 For every prefix of a piece of text there is exactly one token that its encoding ends with. An Aho-Corasick automaton
-over the vocabulary gives all tokens that end at each place; such a token is the last one of that prefix if it is
+over the vocabulary (its states and suffix links are those of a suffix automaton's matches, for many words at once) gives all
+tokens that end at each place; such a token is the last one of that prefix if it is
 compatible with the last token of the prefix before it, that is, if no merge across the border between the two would
 come before the merges that made them. Following the last tokens back from the end gives the ids. This is linear in the
 text, however long a piece is, and gives the ids of merging by rank.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import Memo, table
+from .common import Memo, in_arrow, table
 
 #: Words, and pieces, that a worker remembers before the older ones go; it holds twice as many at most.
 MEMORY = 100_000
@@ -220,31 +221,29 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 back.append(hashlib.sha256(" ".join(tokens).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str | None = None, decoded: bool = True, rows_at_once: int = 500) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = True) -> DataFrame:
     """All columns of docs, and ids array<int> and (if asked for) decoded string, replacing columns of these names."""
     path = path or vocabulary()
     docs = docs.drop("ids", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows_at_once):
-                batch = whole.slice(at, rows_at_once)
-                ids, tokens = [], []
-                for text in batch.column("text").to_pylist():
-                    found = bpe.found(text or "")
-                    ids.append(np.array(" ".join([x[0] for x in found]).split(), dtype=np.int32))
-                    tokens.append(" ".join([x[2] for x in found]) if decoded else "")
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, column, *([pa.array(tokens, pa.string())] if decoded else [])], names=[*batch.schema.names, "ids", *(["decoded"] if decoded else [])])
+        for batch in batches:
+            ids, tokens = [], []
+            for text in batch.column("text").to_pylist():
+                found = bpe.found(text or "")
+                ids.append(np.array(" ".join([x[0] for x in found]).split(), dtype=np.int32))
+                tokens.append(" ".join([x[2] for x in found]) if decoded else "")
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column, *([pa.array(tokens, pa.string())] if decoded else [])], names=[*batch.schema.names, "ids", *(["decoded"] if decoded else [])])
         loaded.cache_clear()  # a worker may go on with another operator's tasks
 
     added = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added[: 1 + decoded]]))
+    return in_arrow(docs, run, StructType([*docs.schema.fields, *added[: 1 + decoded]]), 1 << 20)
 
 
 def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64
+from .common import in_arrow, mix64
 
 SYMBOLS, ORDER, BITS = 32, 4, 5
 SIZE = SYMBOLS**ORDER
@@ -106,7 +106,7 @@ def count(docs: DataFrame, own: list[str]) -> DataFrame:
             seen = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(sums[seen])], names=["lang", "code", "n"])
 
-    parts = docs.select("text", "lang").mapInArrow(run, "lang string, code int, n long")
+    parts = in_arrow(docs.select("text", "lang"), run, "lang string, code int, n long")
     return parts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64
+from .common import apart, in_arrow, mix64, release
 
 CHUNK = 2 << 20
 #: Longer texts are cut into parts that overlap by a window less one unit.
@@ -199,9 +199,7 @@ def _packed(parts: list[tuple[int, int, int, bytes]], k: int, m: int, buckets: i
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and text_hash, which name a row but for rows that are alike in both; and rest, a struct of all other columns."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.struct(*others) if others else F.lit(None)
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest")).withColumn("text_hash", F.xxhash64("text"))
+    return apart(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), "rest").withColumn("text_hash", F.xxhash64("text"))
 
 
 def dictionary(rows: DataFrame, size: int = 1 << 20) -> bytes:
@@ -247,7 +245,7 @@ def pack(rows: DataFrame, k: int, m: int, buckets: int, words: bool, known: byte
         if held:
             yield out()
 
-    return rows.select("doc_id", "text", "text_hash").mapInArrow(run, "bucket int, blob binary")
+    return in_arrow(rows.select("doc_id", "text", "text_hash"), run, "bucket int, blob binary")
 
 
 def number_of_buckets(rows: DataFrame, bytes_each: int) -> int:
@@ -267,7 +265,10 @@ def exchange(docs: DataFrame, k: int, m: int, words: bool, spans_of: Callable[[S
         strings = Strings.together([Strings.unpack(x.as_py(), of) for x in table.column("blob")])
         place, first, n = spans_of(strings)
         doc = strings.doc[place]
-        return pa.table({"doc_id": pa.array(strings.doc_id[doc].astype(np.int64)), "text_hash": pa.array(strings.text_hash[doc].astype(np.int64)), "at": pa.array((strings.at[place] + first).astype(np.int64)), "windows": pa.array(n.astype(np.int32))})
+        found = pa.table({"doc_id": pa.array(strings.doc_id[doc].astype(np.int64)), "text_hash": pa.array(strings.text_hash[doc].astype(np.int64)), "at": pa.array((strings.at[place] + first).astype(np.int64)), "windows": pa.array(n.astype(np.int32))})
+        del strings, place, first, n, doc
+        release()
+        return found
 
     met = pack(rows, k, m, buckets, words, known, level).groupBy("bucket").applyInArrow(meet, "doc_id long, text_hash long, at long, windows int")
     by = met.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("at", "windows")).alias("spans"))
