@@ -51,8 +51,11 @@ def spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - length), length)
 
 
-def shared_prefixes(strings: list[bytes], least: int) -> np.ndarray:
-    """For each place of the strings end to end, one more for each string's end: whether the next `least` bytes also stand at another place. No match runs over a string's end."""
+def shared_prefixes(strings: list[bytes], least: int, times: np.ndarray | None = None) -> np.ndarray:
+    """For each place of the strings end to end, one more for each string's end: whether the next `least` bytes also stand at another place. No match runs over a string's end.
+
+    times: how often each string stands there. Copies of a suffix would be neighbours in the order, with all that is left of
+    it in common, so one row stands for all of them: it has a copy as neighbour."""
     lengths = np.array([len(s) + 1 for s in strings])
     ends = np.cumsum(lengths) - 1
     data = np.zeros(int(lengths.sum()), np.int16)
@@ -95,4 +98,7 @@ def shared_prefixes(strings: list[bytes], least: int) -> np.ndarray:
     longer = ~known
     out = np.empty(n, bool)
     out[order] = longer[:-1] | longer[1:]
+    if times is not None:
+        left = np.repeat(ends, lengths) - np.arange(n)
+        out |= (np.repeat(times, lengths) > 1) & (left >= least)
     return out

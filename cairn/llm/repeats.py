@@ -1,7 +1,8 @@
 """Repeated passages: windows of bytes by a Burrows-Wheeler transform, windows of words by sorting super-k-mers.
 
 Both meet in the buckets of superkmers.exchange(). Only what shares a minimiser with something else is looked at there:
-a string without company has no repeated window. Where all strings of a minimiser are alike, their places decide.
+a string without company that stands in one place has no repeated window. Of bytes, each different string goes through the
+transform once, with the number of its places. Of words, where all strings of a minimiser are alike, their places decide.
 
 Nulls: a null text is empty; a null doc_id counts as larger than any other, and two of them as equal. Rows alike in
 doc_id and text are one document for words (an id isn't smaller than itself), and copies of each other for bytes.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from .bwt import shared_prefixes, spans
-from .common import table
+from .common import in_arrow, joined, table
 from .superkmers import LETTERS, POWERS, Strings, covered, exchange
 
 BYTES, WORDS = 200, 13
@@ -71,31 +72,36 @@ def _runs(s: Strings, contents: Contents, places: np.ndarray, marked: np.ndarray
 def near(s: Strings, c: Contents, some: np.ndarray) -> np.ndarray:
     """Which of these contents may share a window with another one. Such a window holds the minimiser and, on one side of it, half of its other bytes at least."""
     half = (BYTES - MINIMISER + 1) // 2
-    begin, length = c.begin[some], s.length[some].astype(np.int64)
-    data = s.data[spans(begin, length)]
-    sums = POWERS.sums(LETTERS[data])
-    at = np.cumsum(length) - length + s.offset[some]
+    offset, length = s.offset[some].astype(np.int64), s.length[some].astype(np.int64)
+    there = (offset + MINIMISER + half <= length, offset >= half)
+    sides = [np.zeros(len(some), np.uint64) for _ in there]
+    ends = np.cumsum(length)
+    lo = 0
+    while lo < len(some):  # so many strings at a time that their sums stay small
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - length[lo] + TOGETHER, side="right")))
+        sums = POWERS.sums(LETTERS[s.data[spans(c.begin[some[lo:hi]], length[lo:hi])]])
+        at = ends[lo:hi] - length[lo:hi] - (ends[lo] - length[lo]) + offset[lo:hi]
+        for side, low, high, ok in zip(sides, (at, at - half), (at + MINIMISER + half, at + MINIMISER), there):
+            rows = np.flatnonzero(ok[lo:hi])
+            side[lo + rows] = POWERS.of(sums, low[rows], high[rows])
+        lo = hi
     out = np.zeros(len(some), bool)
-    for low, high, there in ((at, at + MINIMISER + half, s.offset[some] + MINIMISER + half <= length), (at - half, at + MINIMISER, s.offset[some] >= half)):
-        rows = np.flatnonzero(there)
-        _, which, times = np.unique(POWERS.of(sums, low[rows], high[rows]), return_inverse=True, return_counts=True)
+    for side, ok in zip(sides, there):
+        rows = np.flatnonzero(ok)
+        _, which, times = np.unique(side[rows], return_inverse=True, return_counts=True)
         out[rows[times[which] > 1]] = True
     return out
 
 
 def repeated_bytes(s: Strings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that also start anywhere else."""
+    """Windows that also start anywhere else: what the transform finds among the different contents, each with the number of its places."""
     c = Contents(s)
     total = np.bincount(c.content, weights=s.count, minlength=len(s.length)).astype(np.int64)
-    places = np.arange(len(c.place_content))
-    whole = total[c.place_content] > 1  # all windows of a string that stands in two places
-    own, n = places[whole], s.windows[c.place_content[whole]].astype(np.int64)
-    out = (own, np.zeros(len(own), np.int64), n)
     some = c.in_company()
-    if not len(some):
-        return out
+    some = some[near(s, c, some) | (total[some] > 1)] if len(some) else some
+    again = np.flatnonzero((c.content == np.arange(len(c.content))) & ~c.company & (total > 1))
+    some = np.concatenate((some, again))
     some = some[np.argsort(c.group[some], kind="stable")]
-    some = some[near(s, c, some)]
     start = np.full(len(s.length), -1)
     lengths = s.length[some].astype(np.int64) + 1
     start[some] = np.cumsum(lengths) - lengths
@@ -103,14 +109,13 @@ def repeated_bytes(s: Strings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts, at = [], 0
     for edge in [*edges[1:].tolist(), len(some)]:  # whole groups, so many at a time
         if edge > at and (edge == len(some) or start[some[edge]] - start[some[at]] >= TOGETHER):
-            parts.append(shared_prefixes([c.text(i) for i in some[at:edge].tolist()], BYTES))
+            parts.append(shared_prefixes([c.text(i) for i in some[at:edge].tolist()], BYTES, total[some[at:edge]]))
             at = edge
     shared = np.concatenate(parts) if parts else np.zeros(0, bool)
-    rest = places[~whole & (start[c.place_content] >= 0)]
+    rest = np.flatnonzero(start[c.place_content] >= 0)
     k = c.place_content[rest]
     n = s.windows[k].astype(np.int64)
-    more = _runs(s, c, rest, shared[spans(start[k], n)], np.cumsum(n) - n)
-    return tuple(np.concatenate(x) for x in zip(out, more))
+    return _runs(s, c, rest, shared[spans(start[k], n)], np.cumsum(n) - n)
 
 
 def repeated_words(s: Strings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,9 +195,8 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), batch.column("rest")], names=["doc_id", "text", "rest"])
 
     rows = byte_spans(docs)
-    rows = rows.mapInArrow(run, StructType([f for f in rows.schema.fields if f.name != "spans"]))
-    text = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return rows.select(*(text[c].alias(c) if c in text else F.col("rest")[c].alias(c) for c in docs.columns))
+    rows = in_arrow(rows, run, StructType([f for f in rows.schema.fields if f.name != "spans"])).withColumn("n_chars", F.length("text").cast("long"))
+    return joined(rows, docs.columns, "doc_id", "text", "n_chars")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +210,7 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     schema = pa.schema([(n, pa.int64()) for n in names[:-1]] + [(names[-1], pa.string())])
-    return byte_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return in_arrow(byte_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,4 +228,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     schema = pa.schema([(n, pa.int64()) for n in names[:-1]] + [(names[-1], pa.string())])
-    return word_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return in_arrow(word_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "spans"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
