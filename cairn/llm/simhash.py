@@ -1,17 +1,19 @@
 """SimHash near-duplicates, found with pivot distance tables.
 
-Every distinct fingerprint gets one row in each of several tables. A row holds a key (the bits that the table's mask
-keeps) and, worked out where the rows meet, its Hamming distances to reference fingerprints, the pivots. Rows of one key
-are paired; by the triangle inequality two fingerprints at distance d differ by d at most in each coordinate, so a pair
-whose largest coordinate difference is above the threshold is discarded; what survives is verified on the bits.
+Every distinct fingerprint's Hamming distances to reference fingerprints, the pivots, are worked out once and stored with
+it. By the triangle inequality two fingerprints at distance d differ by d at most in each coordinate. A fingerprint gets one
+row in each of several tables: a key (the bits that the table's mask keeps) and its coordinates. Within a key rows are in
+order of their first coordinate, so that candidates are the rows ahead whose first coordinate is the threshold larger at
+most; of these, pairs whose largest coordinate difference is above the threshold are discarded; survivors are verified.
 
 For a threshold t the masks of exact_masks() miss nothing: of t + 2 blocks, two fingerprints agree in two at least.
-Wide thresholds have no such masks, so without_near_duplicates() does without fingerprints: sets of shingles that are
-similar enough share one of their first shingles in a common order, and all that meet there are verified. Both are exact.
-
 A key that very many distinct fingerprints share is not paired in one task: its members go on to a join by one-bit
 variants (two fingerprints at distance 2 or less share one), which is linear, exact and spread by value.
 
+Similar sets of shingles may have fingerprints that lie far apart, so without_near_duplicates() takes the links between
+fingerprints only as its first candidates: sets that are similar enough share one of their first shingles in a common
+order, and all that meet there are verified by their shingles. That is exact, at any size.
+
 Nulls: a null text counts as empty; the fingerprint of a text without words is zero and links like any other. A null
 doc_id is kept and gives no component id. Repeated rows and ids each give a row. Other columns are not read.
 """
@@ -27,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, stored, table, texts
+from .common import cut, in_arrow, stored, table, texts
 from .graph import components
 
 #: Rows of one key that are paired in one place; beyond, the variants take over.
@@ -50,22 +52,32 @@ def simhash(data: bytes, k: int = 3, seed: int = 42) -> int:
     parts = shingles(data, k)
     if not parts:
         return 0
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(parts), 1 << 16):
-        h = np.array([digest(x, seed) for x in parts[at : at + (1 << 16)]], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(parts), bitorder="little").view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(x, seed) for x in parts], dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit i is 1 if set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def distances(fp: np.ndarray) -> np.ndarray:
+    """The Hamming distances of each fingerprint to each pivot."""
+    return np.bitwise_count(fp[:, None] ^ np.array(PIVOTS, np.uint64)[None, :])
 
 
 def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the 64-bit fingerprint as a signed long."""
+    """(doc_id, fp, pivots): fp is the 64-bit fingerprint as a signed long, pivots its distances to PIVOTS, a byte each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((simhash(x, k, seed) for x in texts(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), pa.array([x.tobytes() for x in distances(fp)], pa.binary())], names=["doc_id", "fp", "pivots"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long, pivots binary")
 
 
 def exact_masks(threshold: int = 2) -> list[int]:
@@ -92,16 +104,16 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return root
 
 
-def _survivors(key: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of verified pairs among rows sorted by key."""
-    pivots = np.bitwise_count(fp[:, None] ^ np.array(PIVOTS, np.uint64)[None, :]).astype(np.int8)
+def _survivors(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of verified pairs among rows sorted by key and first coordinate."""
+    pivots = pivots.astype(np.int8)
     run = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    left = np.bincount(run)[run] - (np.arange(len(key)) - np.searchsorted(run, run))  # rows of the run from here on
+    near = run * 256 + (pivots[:, 0] if len(key) else 0)
+    ahead = np.searchsorted(near, near + threshold, side="right") - np.arange(len(key))  # candidates end there
     first, second, at, d = [], [], np.arange(len(key)), 1
-    while len(at := at[left[at] > d]):
+    while len(at := at[ahead[at] > d]):
         for part in np.array_split(at, max(1, len(at) >> 17)):
-            near = np.abs(pivots[part] - pivots[part + d]).max(1) <= threshold
-            part = part[near]
+            part = part[np.abs(pivots[part] - pivots[part + d]).max(1) <= threshold]
             part = part[np.bitwise_count(fp[part] ^ fp[part + d]) <= threshold]
             first.append(part)
             second.append(part + d)
@@ -110,33 +122,34 @@ def _survivors(key: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndar
 
 
 def _paired(threshold: int, run: int):
-    """Arrow batches of (key, fp) sorted by key -> (a, b) a forest of the links under each key, b null for each member of a crowded key."""
+    """Arrow batches of (key, fp, pivots) sorted by key and first coordinate -> (a, b) a forest of the links under each key, b null for each member of a crowded key."""
 
     def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
         b = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), b], names=["a", "b"])
 
-    def pairs(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        a, b = _survivors(key, fp, threshold)
+    def pairs(key: np.ndarray, fp: np.ndarray, pivots: np.ndarray) -> pa.RecordBatch:
+        a, b = _survivors(key, fp, pivots, threshold)
         used = np.unique(np.concatenate((a, b)))
         root = _forest(np.searchsorted(used, a), np.searchsorted(used, b), len(used))
         own = root != np.arange(len(used))
         return out(fp[used[own]], fp[used[root[own]]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_fp, crowded = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+        none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, len(PIVOTS)), np.uint8)
+        held, crowded = none, None
         for batch in batches:
-            key = np.concatenate((held_key, batch.column(0).to_numpy()))
-            fp = np.concatenate((held_fp, batch.column(1).to_numpy().view(np.uint64)))
+            own = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, len(PIVOTS))
+            key, fp, pivots = (np.concatenate(x) for x in zip(held, own))
             if not len(key):
                 continue
             if crowded is not None:  # the batch before ended within a crowded key
                 n = np.searchsorted(key, crowded, side="right") if key[0] == crowded else 0
                 yield out(fp[:n], None)
-                key, fp = key[n:], fp[n:]
+                key, fp, pivots = key[n:], fp[n:], pivots[n:]
                 crowded = crowded if not len(key) else None
             if not len(key):
-                held_key, held_fp = key, fp
+                held = none
                 continue
             starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
             sizes = np.diff(np.concatenate((starts, [len(key)])))
@@ -145,25 +158,25 @@ def _paired(threshold: int, run: int):
                 yield out(fp[many], None)
             last = starts[-1]
             if sizes[-1] > run:
-                crowded, held_key, held_fp = key[last], key[:0], fp[:0]
+                crowded, held = key[last], none
             else:
-                held_key, held_fp = key[last:], fp[last:]
+                held = key[last:], fp[last:], pivots[last:]
             body = ~many[:last]
-            yield pairs(key[:last][body], fp[:last][body])
-        yield pairs(held_key, held_fp)
+            yield pairs(key[:last][body], fp[:last][body], pivots[:last][body])
+        yield pairs(*held)
 
     return work
 
 
 def links(fps: DataFrame, threshold: int = 2, masks: list[int] | None = None, run: int = RUN) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that connect all pairs within the threshold.
+    """(a, b): links between distinct fingerprints (columns fp, pivots) that connect all pairs within the threshold.
 
     Not all pairs: under each key a spanning forest of them, so a key's links are fewer than its members."""
     masks = exact_masks(threshold) if masks is None else masks
     fp = F.col("fp")
     keys: list[Column] = [F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)]
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("key", "fp")
-    met = cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_paired(threshold, run), "a long, b long"))
+    rows = fps.select(F.explode(F.array(*keys)).alias("key"), "fp", "pivots")
+    met = cut(in_arrow(rows.repartition("key").sortWithinPartitions("key", F.substring("pivots", 1, 1)), _paired(threshold, run), "a long, b long"))
     crowd = met.filter("b is null").select("a").distinct()
     variants = crowd.select("a", F.explode(F.array(fp_self := F.col("a"), *[fp_self.bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])).alias("v"))
     through = variants.groupBy("v").agg(F.min("a").alias("b"), F.max("a").alias("c")).filter("b <> c")
@@ -177,7 +190,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, threshold: int = 2, run: int =
     if threshold > 2:
         raise ValueError("crowded keys are exact up to two bits; link wider thresholds with links()")
     docs = cut(fingerprints(docs, k))
-    fps = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    fps = docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("pivots").alias("pivots"))
     roots = cut(components(links(fps, threshold, run=run)))
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -206,16 +219,28 @@ def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def frequent(docs: DataFrame, k: int, rate: int = 16, most: int = 200_000) -> np.ndarray:
-    """Hashes of shingles that many of one in `rate` documents hold, the most frequent last. They set the order of shingles, on which the time depends and the result does not."""
+def frequent(docs: DataFrame, k: int, most: int = 200_000, held: int = 1 << 19) -> np.ndarray:
+    """Hashes of shingles that many documents hold, the most frequent last. They set the order of shingles, on which the time depends and the result does not; so not every count is kept.
+
+    All documents are counted. A task's table of hashes is cut to the more frequent half of them where it is full, and gives its most frequent tenth."""
+
+    def top(times: np.ndarray, n: int) -> np.ndarray:
+        return np.flatnonzero(times > 1) if n >= len(times) else np.sort(np.argpartition(times, len(times) - n)[len(times) - n :])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = np.zeros(0, "<u8"), np.zeros(0, np.int64)
         for batch in batches:
-            for t in texts(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(_set(t, k).view(np.int64))], names=["shingle"])
-
-    seen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0).mapInArrow(run, "shingle long").groupBy("shingle").count()
-    found = seen.filter("count > 1").orderBy(F.desc("count"), "shingle").limit(most).toArrow()
+            own, n = np.unique(np.concatenate([known[:0], *(_set(t, k) for t in texts(batch.column(0)))]), return_counts=True)
+            known, which = np.unique(np.concatenate((known, own)), return_inverse=True)
+            times = np.bincount(which, weights=np.concatenate((times, n)), minlength=len(known)).astype(np.int64)
+            if len(known) > held:
+                some = top(times, held // 2)
+                known, times = known[some], times[some]
+        some = top(times, held // 10)
+        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(times[some])], names=["shingle", "n"])
+
+    seen = in_arrow(docs.select("text"), run, "shingle long, n long").filter("n > 1").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = seen.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
     return found.column("shingle").to_numpy().view(np.uint64)[::-1]
 
 
@@ -326,9 +351,12 @@ def duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
     """(doc_id, kept_id): each document that has a near duplicate with a smaller id, and the smallest id of its group.
 
     Two documents are linked if the Jaccard similarity of their sets of k-word shingles is `similarity` or more; groups are
-    the components of all such links. Equal sets are joined by a 128-bit hash. Of the others, two that are similar enough
-    share one of the first shingles of each (prefix()), whatever the number of documents: rows of one such shingle are
-    paired with the row before and the first, what is similar is grouped, and then all pairs across groups are looked at."""
+    the components of all such links. Equal sets are joined by a 128-bit hash. The first candidates are pairs whose sets'
+    fingerprints links() connects. Any two that are similar enough share one of the first shingles of each (prefix()),
+    whatever the number of documents: rows of one such shingle are paired with the row before and the first. What of all
+    these is similar is grouped, and then all pairs across groups that share such a shingle are looked at.
+
+    Null ids are left out; repeated ids are one document; empty texts, and others without words, are equal sets."""
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     by_count = frequent(docs, k)
     known = np.argsort(by_count)
@@ -336,43 +364,50 @@ def duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, sizes, firsts, counts = [], [], [], []
+            marks, sizes, firsts, counts, prints = [], [], [], [], []
             for x in texts(batch.column(1)):
                 own = _set(x, k)
                 marks.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
                 firsts.append(prefix(own, *sent.value, similarity).tobytes())
                 counts.append(_sketch(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "mark", "size", "first", "sketch"])
+                prints.append(majority(own))
+            fp = np.array(prints, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.binary()), pa.array(counts, pa.binary()), pa.array(fp.view(np.int64)), pa.array([x.tobytes() for x in distances(fp)], pa.binary())], names=["doc_id", "mark", "size", "first", "sketch", "fp", "pivots"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                some = batch.slice(start, 1000)
-                parts = [np.frombuffer(x, np.int64) for x in some.column(2).to_pylist()]
-                n = [len(x) for x in parts]
-                at = np.concatenate([np.arange(x, dtype=np.int32) for x in n])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(some.column(1).to_numpy(), n)), pa.array(at), pa.array(np.repeat(some.column(0).to_numpy(), n))], names=["key", "size", "at", "id"])
+        for some in batches:
+            parts = [np.frombuffer(x, np.int64) for x in some.column(2).to_pylist()]
+            n = [len(x) for x in parts]
+            at = np.concatenate([np.arange(x, dtype=np.int32) for x in n])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(some.column(1).to_numpy(), n)), pa.array(at), pa.array(np.repeat(some.column(0).to_numpy(), n))], names=["key", "size", "at", "id"])
+
+    def ordered(a: Column, b: Column) -> tuple[Column, Column]:
+        return F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
 
     def alike(pairs: DataFrame) -> DataFrame:
         first, second = rows.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), rows.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
-        pairs = cut(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(lambda x: _bounded(x, similarity), "a long, b long").distinct())
+        pairs = cut(in_arrow(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y"), lambda x: _bounded(x, similarity), "a long, b long").distinct())
         named = pairs.select("a").union(pairs.select("b")).distinct()
-        sets = cut(docs.join(named, docs.doc_id == named.a, "left_semi").mapInArrow(lambda x: _sets(x, k), "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+        sets = stored(in_arrow(docs.join(named, docs.doc_id == named.a, "left_semi"), lambda x: _sets(x, k), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
         first, second = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-        return cut(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(lambda x: _similar(x, similarity), "a long, b long"))
+        return cut(in_arrow(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y"), lambda x: _similar(x, similarity), "a long, b long"))
 
-    rows = stored(docs.mapInArrow(run, "doc_id long, mark binary, size int, first binary, sketch binary"), "shingles")
+    rows = stored(in_arrow(docs, run, "doc_id long, mark binary, size int, first binary, sketch binary, fp long, pivots binary"), "shingles")
     distinct = rows.groupBy("mark").agg(F.min("doc_id").alias("rep"))
     copies = rows.select("doc_id", "mark").join(distinct, "mark").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    heads = rows.join(distinct.select("rep", F.col("mark").alias("_mark")), (F.col("doc_id") == F.col("rep")) & (F.col("mark") == F.col("_mark"))).select("doc_id", "size", "first")
-    keys = heads.mapInArrow(spread, "key long, size int, at int, id long").repartition("key").sortWithinPartitions("key", "size", "id")
-    met = stored(keys.mapInArrow(_neighbours(similarity), "key long, size int, at int, id long, before long, lead long"), "met")
-    pairs = met.select("id", F.explode(F.array("before", "lead")).alias("o")).filter("o is not null").select(F.greatest("id", "o").alias("a"), F.least("id", "o").alias("b"))
-    near = cut(pairs.distinct())
+    heads = rows.join(distinct.select("rep", F.col("mark").alias("_mark")), (F.col("doc_id") == F.col("rep")) & (F.col("mark") == F.col("_mark")))
+    prints = cut(heads.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("pivots").alias("pivots")))
+    firsts = prints.select("fp", "first")
+    same = heads.select("doc_id", "fp").join(firsts, "fp").filter("doc_id <> first").select(*ordered(F.col("doc_id"), F.col("first")))
+    linked_prints = links(prints).join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(*ordered(F.col("x"), F.col("y")))
+    keys = in_arrow(heads.select("doc_id", "size", "first"), spread, "key long, size int, at int, id long").repartition("key").sortWithinPartitions("key", "size", "id")
+    met = stored(in_arrow(keys, _neighbours(similarity), "key long, size int, at int, id long, before long, lead long"), "met")
+    pairs = met.select("id", F.explode(F.array("before", "lead")).alias("o")).filter("o is not null").select(*ordered(F.col("id"), F.col("o")))
+    near = cut(pairs.union(same).union(linked_prints).distinct())
     linked = alike(near)
     grouped = met.select("key", "size", "at", "id").join(components(linked), F.col("id") == F.col("node"), "left").select("key", "size", "at", "id", F.coalesce("root", "id").alias("root"))
-    across = grouped.repartition("key").sortWithinPartitions("key", "size", "id").mapInArrow(_across(similarity), "a long, b long").distinct()
+    across = in_arrow(grouped.repartition("key").sortWithinPartitions("key", "size", "id"), _across(similarity), "a long, b long").distinct()
     rest = alike(cut(across.join(near, ["a", "b"], "left_anti")))
     groups = components(copies.union(linked).union(rest))
     return groups.filter("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
@@ -381,7 +416,7 @@ def duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """The rows and columns of docs, of each group of near duplicates only the document with the smallest id. Rows of one id stay or go together; rows without an id stay."""
     gone = duplicates(docs, **how).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
