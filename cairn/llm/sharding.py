@@ -9,14 +9,19 @@ A bucket's permutation is drawn over its row numbers, and records are ranked by
 bucket's texts at once, and one very long text harms nothing.
 
 Nulls are hashed like values. Rows that are alike in doc_id and text fall into one bucket, in no defined order among
-themselves. An empty table gives an empty result. Columns named shard or slot are replaced, all others are kept.
+themselves; where there are more than ALIKE of them, they are numbered, in every task that has read some, and each ALIKE of
+them fall into a bucket of their own draw. An empty table gives an empty result. Columns named shard or slot are replaced,
+all others are kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import table
+from .common import apart, stored, table
+
+#: Rows alike that are scattered together.
+ALIKE = 64
 
 
 def fisher_yates(n: Column, *seeds: Column) -> Column:
@@ -39,15 +44,29 @@ def prefix_sums(df: DataFrame, key: str, value: str, out: str, group: int = 4096
     return df.join(groups, "_g").withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("_g", "_before")
 
 
+def numbered_alike(held: DataFrame, most: int) -> DataFrame:
+    """held with `copy`: 0, or for rows whose mark more than `most` rows have, their number among these by `most`. No task orders all rows of a mark."""
+    many = stored(held.groupBy("mark").count().filter(F.col("count") > most).select("mark"), "alike")
+    if many.isEmpty():
+        return held.withColumn("copy", F.lit(0).cast("long"))
+    rare = held.join(many, "mark", "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    found = held.join(many, "mark", "left_semi").withColumn("read", F.monotonically_increasing_id()).withColumn("part", F.shiftright("read", 33))
+    found = stored(found, "alike-rows")  # as numbered, whatever is read again
+    before = Window.partitionBy("mark").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = found.groupBy("mark", "part").agg(F.count("*").alias("n")).select("mark", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    own = found.withColumn("n", F.row_number().over(Window.partitionBy("mark", "part").orderBy("read")) - 1)
+    own = own.join(parts, ["mark", "part"]).withColumn("copy", F.floor((F.col("first") + F.col("n")) / most))
+    return rare.unionByName(own.select(*rare.columns))
+
+
 def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = 0, bucket_bytes: int = 16 << 20, bucket_rows: int = 1024) -> DataFrame:
     """All columns of docs, and shard int, slot long (gapless from 0 in each shard)."""
-    columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    held = docs.select(F.struct(*columns).alias("row"))
+    held = apart(docs.drop("shard", "slot")).select(F.col("rest").alias("row"), F.xxhash64(F.lit(seed), "rest.doc_id", "rest.text").alias("mark"))
     row_id, text = F.col("row.doc_id"), F.col("row.text")
     total = held.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
     buckets = max(1, -(-total.rows // bucket_rows), -(-total.bytes // bucket_bytes))
-    mark = F.xxhash64(F.lit(seed), row_id, text)
-    scattered = held.select("row", mark.alias("mark"), F.pmod(F.xxhash64(F.lit(seed + 1), mark), F.lit(buckets)).alias("bucket"))
+    copies = numbered_alike(held, ALIKE)
+    scattered = copies.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "mark", "copy"), F.lit(buckets)))
     counts = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
     # dealt out again, as the draws take longer than their small rows let expect, and never broadcast: they grow with the table
     dealt = prefix_sums(counts, "bucket", "n", "start").repartition(max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket")
