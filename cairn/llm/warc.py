@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import new_folder, stored, table
+from .common import in_arrow, new_folder, stored, table
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -88,7 +88,7 @@ class Writer:
         self.out.write(self.compressor.compress(raw))
 
 
-def read_frames(source: BinaryIO, chunk: int = 1 << 20) -> Iterator[bytes]:
+def read_frames(source: BinaryIO, chunk: int = 1 << 16) -> Iterator[bytes]:
     """The records of an archive, one frame each."""
     head = source.read(8)
     if len(head) < 8 or (parts := struct.unpack("<II", head))[0] != DICTIONARY_FRAME:
@@ -138,11 +138,14 @@ def _uri(folder: str) -> str:
 
 
 def deduplicated(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): refers_to is the largest page_id of those with the same payload, null on that one itself and where the ids are null."""
+    """(page_id, url, payload, refers_to): refers_to is the largest page_id of those with the same payload, null on that one itself and where the ids are null.
+
+    Digests alone are brought together, counted by payload in every task first; a page learns by its id and digest what it refers to, so the copies of a payload stay where they are spread."""
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("mark", F.sha1("payload"))
-    last = rows.groupBy("mark").agg(F.max("page_id").alias("last")).select(F.col("mark").alias("_mark"), "last")
-    rows = rows.join(last, rows.mark == F.col("_mark"))
-    return rows.select("page_id", "url", "payload", F.when(F.coalesce(F.col("page_id") < F.col("last"), F.lit(False)), F.col("last")).alias("refers_to"))
+    ids = rows.select("page_id", "mark").filter("page_id is not null")
+    last = ids.groupBy("mark").agg(F.max("page_id").alias("last"), F.min("page_id").alias("least")).filter("least < last")
+    known = stored(ids.distinct().join(last, "mark").filter("page_id < last").select(F.col("page_id").alias("_id"), F.col("mark").alias("_mark"), F.col("last").alias("refers_to")), "revisits")
+    return rows.join(known, (rows.page_id == F.col("_id")) & (rows.mark == F.col("_mark")), "left").select("page_id", "url", "payload", "refers_to")
 
 
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = 64 << 20, sample_bytes: int = 1 << 20, dictionary_bytes: int = 64 << 10, level: int = 3) -> DataFrame:
@@ -205,7 +208,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = 64 << 20,
         paths = [scheme + (f"{host}{p}" if host and p.startswith("/") else f"{p}") for p, _, _ in done]
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], names=["path", "records", "bytes"])
 
-    listed = rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, records long, bytes long")
+    listed = in_arrow(rows.select("page_id", "url", "payload", "refers_to"), run, "path string, records long, bytes long")
     return stored(listed, "archives")
 
 
@@ -247,7 +250,7 @@ def read_archives(listed: DataFrame, with_payload: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
 
     count = max(1, listed.count())
-    return listed.select("path", "records").repartition(count, "path").mapInArrow(run, schema)
+    return in_arrow(listed.select("path", "records").repartition(count), run, schema)
 
 
 def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
