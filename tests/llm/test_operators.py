@@ -95,7 +95,8 @@ def test_simhash_links_miss_nothing(spark):
     crowd = r.getrandbits(64)
     values |= {crowd ^ (1 << i) for i in range(40)} | {crowd}
     values = sorted(values)
-    fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    pivots = simhash.distances(np.array(values, np.uint64))
+    fps = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, bytes(p)) for v, p in zip(values, pivots)], "fp long, pivots binary")
     want = Counter(Counter(linked(values, 2)).values())
     for run in (2048, 8):
         got = simhash.components(simhash.links(fps, run=run)).groupBy("root").count().collect()
@@ -410,7 +411,7 @@ def test_parts_of_long_texts(docs, monkeypatch):
 
 
 def test_channel():
-    text = ["you are an idiot and a loser with stupid trash talk pathetic worthless moron clown"] * 20 + [prose(50, i) for i in range(5)]
+    text = ["you are an idiot and a loser with stupid trash talk pathetic worthless moron clown", "it is up to us to be ok"] * 20 + [prose(50, i) for i in range(5)]
     code, _ = charlm.codes(text)
     n = np.bincount(code, minlength=charlm.SIZE)
     seen = np.flatnonzero(n)
@@ -419,7 +420,10 @@ def test_channel():
     for hidden, word in (("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiooot", "idiot"), ("$tupid", "stupid"), ("st*pid", "stupid"), ("l0ser", "loser"), ("tr@sh", "trash"), ("pa-the-tic", "pathetic"), ("wor7hless!!", "worthless")):
         assert word in channel.words(hidden), hidden
     assert channel.words("loser") == ["loser"] and channel.words("12:30") == []
-    assert "idiot" in toxicity.tokens("an I d I o t there")
+    runs = [x for x in toxicity.tokens("an I d I o t there") if " " in x]
+    assert len(runs) == 1 and "idiot" in channel.words(runs[0])  # the lattice tells which blanks to close
+    assert "idiot" in channel.words("i d 1 0 t") and "idiot" in channel.words("i d i 0 t")
+    assert channel.decode("is up to us to be ok") == "is up to us to be ok"
 
 
 def test_toxicity(spark, empty):
