@@ -13,14 +13,14 @@ from cairn.llm.common import stored, table
 from cairn.llm.mixing import mixed_texts
 from cairn.llm.repeats import without_repeated_bytes
 from cairn.llm.simhash import without_near_duplicates
-from cairn.llm.toxicity import scored
+from cairn.llm.toxicity import untoxic
 
 TOXIC = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC; labels of the held-out fold aren't learned from."""
-    return scored(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")).filter(F.col("score") < TOXIC).select(*docs.columns)
+    return untoxic(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), TOXIC)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
