@@ -34,6 +34,10 @@ from .graph import components
 
 #: Rows of one key that are paired in one place; beyond, the variants take over.
 RUN = 2048
+#: How often documents look for their group before all pairs across groups are looked at; of no effect on what is found.
+SEEK_ROUNDS = 2
+#: Rows of one shingle that are paired without a look at their sketches.
+FEW = 64
 PIVOTS = tuple(int(xxhash.xxh64_intdigest(f"pivot {i}", 7)) for i in range(16))
 
 
@@ -254,25 +258,41 @@ def prefix(own: np.ndarray, known: np.ndarray, rank: np.ndarray, similarity: flo
     return own[np.lexsort((own, order))[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
+PARTS = 256
+
+
 def _sketch(own: np.ndarray) -> bytes:
-    """How many of a set's hashes fall into each of 32 parts."""
-    return np.bincount((own >> np.uint64(59)).astype(np.int64), minlength=32).astype("<u4").tobytes()
+    """How many of a set's hashes fall into each of PARTS parts, as a byte each, in units of a power of two (the first byte) and rounded up."""
+    n = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=PARTS)
+    unit = max(0, int(n.max()).bit_length() - 8)
+    unit += int(-(-int(n.max()) >> unit) > 255) if unit else 0
+    return bytes([unit]) + (-(-n >> unit)).astype(np.uint8).tobytes()
+
+
+def _counts(sketches: list[bytes]) -> np.ndarray:
+    """Of each part, no fewer than there are."""
+    raw = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, PARTS + 1)
+    return raw[:, 1:].astype(np.int32) << raw[:, :1].astype(np.int32)
+
+
+def _shared(x: np.ndarray, y: np.ndarray, block: int = 4096) -> np.ndarray:
+    """No fewer than two sets share, by the smaller count of each part; rows of x with rows of y, or with the one of y."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.minimum(x[i : i + block], y[i : i + block] if len(y) > 1 else y).sum(1) for i in range(0, len(x), block))])
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of sets that can be similar: no more can be shared than the smaller count of each part."""
+    """Pairs (a, b) of sets (of sizes n and m) that can be similar."""
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, 32).astype(np.int64) for i in (2, 3))
-        most = np.minimum(x, y).sum(1)
-        keep = most >= least * (x.sum(1) + y.sum(1) - most) - 1e-6
+        n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (4, 5))
+        x, y = (_counts(batch.column(i).to_pylist()) for i in (2, 3))
+        keep = (both := _shared(x, y)) >= least * (n + m - both) - 1e-6
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of batches sorted by the first one, dealt anew so that rows of one key come together."""
+def _runs(parts: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Columns sorted by the first one, dealt anew so that rows of one key come together."""
     held: list[list[np.ndarray]] = []
-    for batch in batches:
-        cols = [c.to_numpy() for c in batch.columns]
+    for cols in parts:
         if not len(cols[0]):
             continue
         last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -285,6 +305,19 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(c) for c in zip(*held)]
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    return _runs([c.to_numpy() for c in batch.columns] for batch in batches)
+
+
+def _keys(parts: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """As _runs(), one key at a time."""
+    for cols in _runs(parts):
+        edges = [*np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1]))).tolist(), len(cols[0])]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield [c[a:b] for c in cols]
+
+
 def _possible(size: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets i and j of these sizes can be similar if the shingle at these places is the first they share."""
     n, m = size[i].astype(np.int64), size[j].astype(np.int64)
@@ -310,39 +343,77 @@ def _neighbours(similarity: float):
     return work
 
 
-def _across(similarity: float, few: int = 64, block: int = 1 << 18):
-    """Arrow batches of (key, size, at, id, root) sorted by key, size and id -> (a, b): all pairs of a key that have different roots and can be similar."""
+def _seekers(similarity: float, hubs: int = 2, reach: int = 2):
+    """Arrow batches of (key, size, at, id, root, links) sorted by key, size and id -> (a, b): each row with the rows of its key that have most links already, and with the next ones of another root on both sides, where roots differ and sizes allow."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, size, at, own, root, links in _whole(batches):
+            place = np.arange(len(key))
+            run = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+            times = np.bincount(run)
+            first = np.cumsum(times) - times
+            by = np.lexsort((own, -links, run))  # of each key, those with most links first
+            same = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (root[1:] != root[:-1])))) - 1
+            n = np.bincount(same)
+            begin = np.cumsum(n) - n
+            others = [by[np.minimum(first + d, len(by) - 1)][run] for d in range(hubs)]
+            others += [x for d in range(reach) for x in (begin[same] - 1 - d, (begin + n)[same] + d)]
+            found = []
+            for j in others:
+                j = np.clip(j, 0, len(key) - 1)
+                ok = (run[j] == run) & (root[j] != root)
+                i, j = place[ok], j[ok]
+                ok = _possible(size, at, np.minimum(i, j), np.maximum(i, j), similarity)
+                found.append((np.maximum(own[i[ok]], own[j[ok]]), np.minimum(own[i[ok]], own[j[ok]])))
+            a, b = map(np.concatenate, zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return work
+
 
-    def out(own: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(own[i], own[j])), pa.array(np.minimum(own[i], own[j]))], names=["a", "b"])
+def _across(similarity: float):
+    """Arrow batches of (key, size, at, id, root) sorted by key, size and id -> (a, b): all pairs of a key that have different roots and can be similar."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, size, at, own, root in _whole(batches):
             run = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
-            n = np.bincount(run)
-            small = np.flatnonzero(n[run] <= few)
-            left = n[run] - (np.arange(len(key)) - np.searchsorted(run, run))  # rows of the key from here on
-            d, i = 1, small
+            left = np.bincount(run)[run] - (np.arange(len(key)) - np.searchsorted(run, run))  # rows of the key from here on
+            d, i = 1, np.arange(len(key))
             while len(i := i[left[i] > d]):
-                ok = (root[i] != root[i + d]) & _possible(size, at, i, i + d, similarity)
-                yield out(own, i[ok], i[ok] + d)
+                ok = i[(root[i] != root[i + d]) & _possible(size, at, i, i + d, similarity)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(own[ok], own[ok + d])), pa.array(np.minimum(own[ok], own[ok + d]))], names=["a", "b"])
                 d += 1
-            for r in np.flatnonzero(n > few):
-                lo, hi = np.searchsorted(run, [r, r + 1])
-                roots, which, times = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
-                most = np.argmax(times)
-                found, held = [], 0
-                for i in np.flatnonzero(which != most):  # pairs within the key's largest group need no look
-                    j = np.arange(lo, lo + np.searchsorted(size[lo:hi], size[lo + i] / similarity + 1e-6, side="right"))
-                    j = j[(which[j - lo] == most) | (which[j - lo] != which[i]) & (j > lo + i)]
-                    j = j[_possible(size, at, np.full(len(j), lo + i), j, similarity)]
-                    found.append((np.full(len(j), lo + i), j))
-                    held += len(j)
-                    if held >= block:
-                        yield out(own, *map(np.concatenate, zip(*found)))
-                        found, held = [], 0
-                if found:
-                    yield out(own, *map(np.concatenate, zip(*found)))
+
+    return work
+
+
+def _crowded(similarity: float, block: int = 1 << 16):
+    """As _across(), of keys that many rows share, which have a column sketch too: only pairs that can be similar by their sketches."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = np.empty(batch.num_rows, object)
+            sketch[:] = batch.column(5).to_pylist()
+            yield [*(c.to_numpy() for c in batch.columns[:5]), sketch]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, size, at, own, root, sketch in _keys(rows(batches)):
+            counts = _counts(sketch.tolist())
+            _, which, times = np.unique(root, return_inverse=True, return_counts=True)
+            most, found, held = np.argmax(times), [], 0
+            for i in np.flatnonzero(which != most):  # pairs within the key's largest group need no look
+                j = np.arange(np.searchsorted(size, size[i] / similarity + 1e-6, side="right"))
+                j = j[(which[j] == most) | (which[j] != which[i]) & (j > i)]
+                j = j[_possible(size, at, np.full(len(j), i), j, similarity)]
+                both = _shared(counts[j], counts[i : i + 1])
+                j = j[both >= similarity * (size[i] + size[j].astype(np.int64) - both) - 1e-6]
+                found.append((np.maximum(own[i], own[j]), np.minimum(own[i], own[j])))
+                held += len(j)
+                if held >= block or i == len(key) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+                    found, held = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
 
     return work
 
@@ -386,8 +457,8 @@ def duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
         return F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        first, second = rows.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), rows.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
-        pairs = cut(in_arrow(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y"), lambda x: _bounded(x, similarity), "a long, b long").distinct())
+        first, second = rows.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("n")), rows.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("m"))
+        pairs = cut(in_arrow(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y", "n", "m"), lambda x: _bounded(x, similarity), "a long, b long").distinct())
         named = pairs.select("a").union(pairs.select("b")).distinct()
         sets = stored(in_arrow(docs.join(named, docs.doc_id == named.a, "left_semi"), lambda x: _sets(x, k), "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
         first, second = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
@@ -406,9 +477,21 @@ def duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFram
     pairs = met.select("id", F.explode(F.array("before", "lead")).alias("o")).filter("o is not null").select(*ordered(F.col("id"), F.col("o")))
     near = cut(pairs.union(same).union(linked_prints).distinct())
     linked = alike(near)
-    grouped = met.select("key", "size", "at", "id").join(components(linked), F.col("id") == F.col("node"), "left").select("key", "size", "at", "id", F.coalesce("root", "id").alias("root"))
-    across = in_arrow(grouped.repartition("key").sortWithinPartitions("key", "size", "id"), _across(similarity), "a long, b long").distinct()
-    rest = alike(cut(across.join(near, ["a", "b"], "left_anti")))
+    placed = met.select("key", "size", "at", "id")
+    seen = near
+    for _ in range(SEEK_ROUNDS):  # members of a large group find it by a few of its members
+        degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        roots = components(linked).join(degree, "node")
+        grouped = placed.join(roots, F.col("id") == F.col("node"), "left").select("key", "size", "at", "id", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+        pairs = in_arrow(grouped.repartition("key").sortWithinPartitions("key", "size", "id"), _seekers(similarity), "a long, b long").distinct()
+        new = cut(pairs.join(seen, ["a", "b"], "left_anti"))
+        seen, linked = cut(seen.union(new)), cut(linked.union(alike(new)))
+    grouped = placed.join(components(linked), F.col("id") == F.col("node"), "left").select("key", "size", "at", "id", F.coalesce("root", "id").alias("root"))
+    crowd = cut(grouped.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter((F.col("n") > FEW) & (F.col("lo") < F.col("hi"))).select("key"))
+    few = in_arrow(grouped.join(crowd, "key", "left_anti").repartition("key").sortWithinPartitions("key", "size", "id"), _across(similarity), "a long, b long")
+    many = grouped.join(crowd, "key", "left_semi").join(rows.select(F.col("doc_id").alias("id"), "sketch"), "id").select("key", "size", "at", "id", "root", "sketch")
+    many = in_arrow(many.repartition("key").sortWithinPartitions("key", "size", "id"), _crowded(similarity), "a long, b long")
+    rest = alike(cut(few.union(many).distinct().join(seen, ["a", "b"], "left_anti")))
     groups = components(copies.union(linked).union(rest))
     return groups.filter("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
 
