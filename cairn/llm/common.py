@@ -44,17 +44,29 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files and checkpoints that nothing refers to any longer, which it does when the driver's memory is collected; between many small rounds that is seldom."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder, so that nothing above them runs again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    forget(spark)
+    return out
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As cut(), as a Parquet table: compressed, and read by column."""
-    path = new_folder(df.sparkSession, name)
+    spark, schema, path = df.sparkSession, df.schema, new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    forget(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def release() -> None:

@@ -35,7 +35,7 @@ from .graph import components
 #: Rows of one key that are paired in one place; beyond, the variants take over.
 RUN = 2048
 #: How often documents look for their group before all pairs across groups are looked at; of no effect on what is found.
-SEEK_ROUNDS = 2
+SEEK_ROUNDS = 1
 #: Rows of one shingle that are paired without a look at their sketches.
 FEW = 64
 PIVOTS = tuple(int(xxhash.xxh64_intdigest(f"pivot {i}", 7)) for i in range(16))

@@ -136,7 +136,7 @@ def test_near_duplicates_far_apart_in_bits(spark):
     assert got == grouped(rows) and len(got) == 150
 
 
-def test_near_duplicates_of_others_than_the_leader(spark):
+def test_near_duplicates_of_others_than_the_leader(spark, monkeypatch):
     r, rows = random.Random(3), []
     for i in range(25):  # one shingle decides all fingerprints
         w = [r.choice(WORDS) for _ in range(60)]
@@ -150,12 +150,26 @@ def test_near_duplicates_of_others_than_the_leader(spark):
             w[j] = r.choice("pqrst")
         rows.append((len(rows), " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert {tuple(x) for x in simhash.duplicates(docs).collect()} == grouped(rows)
-    batch = [np.zeros(len(rows), np.int64), np.array([len(set(simhash.shingles(t.encode(), 5))) for _, t in rows], np.int32), np.zeros(len(rows), np.int32), np.arange(len(rows)), np.arange(len(rows)) // 30]
-    batch = [x[np.argsort(batch[1], kind="stable")] for x in batch]
-    table = simhash.pa.RecordBatch.from_arrays([simhash.pa.array(x) for x in batch], names=["key", "size", "at", "id", "root"])
-    few, many = ({tuple(p.values()) for b in simhash._across(0.8, few=n)(iter([table.slice(0, 7), table.slice(7)])) for p in b.to_pylist()} for n in (1, 1000))
-    assert few == many != set()
+    for few in (64, 1):  # with and without a look at the sketches
+        monkeypatch.setattr(simhash, "FEW", few)
+        assert {tuple(x) for x in simhash.duplicates(docs).collect()} == grouped(rows)
+    sets = [simhash._set(t.encode(), 5) for _, t in rows]
+    batch = [np.zeros(len(rows), np.int64), np.array(list(map(len, sets)), np.int32), np.zeros(len(rows), np.int32), np.arange(len(rows)), np.arange(len(rows)) // 30]
+    by = np.argsort(batch[1], kind="stable")
+    columns = [simhash.pa.array(x[by]) for x in batch] + [simhash.pa.array([simhash._sketch(sets[i]) for i in by], simhash.pa.binary())]
+    table = simhash.pa.RecordBatch.from_arrays(columns, names=["key", "size", "at", "id", "root", "sketch"])
+    pairs = lambda work, t: {tuple(p.values()) for b in work(0.8)(iter([t.slice(0, 7), t.slice(7)])) for p in b.to_pylist()}
+    every, bounded = pairs(simhash._across, table.drop_columns(["sketch"])), pairs(simhash._crowded, table)
+    similar = {(a, b) for a, b in every if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    assert similar and similar <= bounded < every
+
+
+def test_sketches_bound_what_is_shared():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 300, 70_000, 200_000):
+        own = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(int(n == 70_000)))
+        counts = simhash._counts([simhash._sketch(own)])[0]
+        assert (counts >= np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=simhash.PARTS)).all()
 
 
 # Merkle trees
