@@ -1,8 +1,8 @@
-"""Character n-gram language models with modified Kneser-Ney smoothing, counted by Spark over all documents.
+"""The letter model of the toxicity lattice: character n-grams with modified Kneser-Ney smoothing, counted by Spark over all documents.
 
 Text is read in lower case as 32 symbols (a to z, blanks, digits, punctuation, signs, two classes of other letters), four
 at a time, so a language has at most 32^4 different n-grams whatever the corpus: counts, models and what is broadcast are
-bounded by that (8 MB a language; `most` languages have a model of their own, all others share one). Counting adds up
+bounded by that (18 MB a model at most; `most` languages have one of their own, all others share one). Counting adds up
 in each task first and then by language and n-gram.
 
 A model is kept as sorted arrays: 64-bit hashes of the n-grams seen, of any order, with their probabilities, and of their

@@ -4,9 +4,9 @@ A document whose form is sound is kept if its perplexity under its language's ch
 band: the median of log2 perplexity (per character, over that language's sound documents) less and plus a multiple of the
 distance between the quartiles, the two sides having multiples of their own. As a mean over few characters varies more, the
 band of a text of fewer than `words` words is wider by the root of their ratio. Documents of unusual noise lie above, those
-that repeat themselves below. Models, medians and quartiles are taken over all documents.
+that repeat themselves below. Models, medians and quartiles are taken over all documents, of every language.
 
-Nulls: a null text has no words and fails; a null language counts as its own. Repeated rows are judged alike. A band of a
+Nulls: a null text has no words and fails; a null language counts as its own, not as the empty one. Repeated rows are judged alike. A band of a
 language with no sound document rejects nothing. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -19,11 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .charlm import OTHER, Scorer, codes, count, in_chunks, main_languages, models
-from .common import SEPARATORS, stored, table
+from .common import SEPARATORS, in_arrow, stored, table
+from .ngrams import Reader, Store, by_language, count, kneser_ney
 
 SIGNS = "#*$%&|<>"
-LANGUAGES = 32
 
 
 def form(text: str) -> tuple[int, int, int, int, int]:
@@ -43,43 +42,32 @@ def form(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, sum(map(text.count, SIGNS)), len(lines) - len(set(lines)), repeated
 
 
-def measured(docs: DataFrame, languages: int = LANGUAGES) -> DataFrame:
-    """(doc_id, lang, form..., base_failed, log_perplexity) of every row."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    own = main_languages(docs, languages)
-    known, spark = set(own), docs.sparkSession
-    sent = spark.sparkContext.broadcast(models(count(docs, own)))
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, form..., base_failed, log_perplexity) of every row; lang begins with = but for null."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang"))
+    store = Store.write(kneser_ney(count(docs)))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers: dict[str, Scorer] = {}
+        reader = Reader(store)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            langs = batch.column(2).to_pylist()
-            forms = np.array([form(t) for t in texts], np.int64).reshape(len(texts), 5)
+            texts = batch.column(1).to_pylist()
+            forms = np.array([form(t or "") for t in texts], np.int64).reshape(len(texts), 5)
             logs = np.zeros(len(texts))
-            by: dict[str, list[int]] = {}
-            for i, lang in enumerate(langs):
-                by.setdefault(lang if lang in known else OTHER, []).append(i)
-            for lang, rows in by.items():
-                if lang not in scorers:
-                    scorers[lang] = Scorer(sent.value[lang])
-                some = [texts[i] for i in rows]
-                for a, b in in_chunks(some):
-                    code, edges = codes(some[a:b])
-                    sums = np.concatenate(([0.0], np.cumsum(scorers[lang].logs(code), dtype=np.float64)))
-                    logs[rows[a:b]] = -(sums[edges[1:]] - sums[edges[:-1]]) / np.maximum(1, np.diff(edges))
+            for lang, some in by_language(texts, batch.column(2).to_pylist()).items():
+                logs[[i for i, _ in some]] = reader.log_perplexities(lang, [t for _, t in some])
             failed = (forms[:, 0] < 50) | (100 * forms[:, 4] > 50 * forms[:, 0])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(forms[:, i]) for i in range(5)), pa.array(failed), pa.array(logs)], names=["doc_id", "lang", *names, "base_failed", "log_perplexity"])
 
-    return stored(docs.mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, log_perplexity double"), "measured")
+    return stored(in_arrow(docs, run, "doc_id long, lang string, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, log_perplexity double", 8 << 20), "measured")
 
 
-def judged(docs: DataFrame, below: float = 2.6, above: float = 4.0, words: int = 250, languages: int = LANGUAGES) -> DataFrame:
+def judged(docs: DataFrame, below: float = 2.3, above: float = 2.2, words: int = 250) -> DataFrame:
     """measured() with the document's band (low, high) and kept."""
-    rows = measured(docs, languages)
+    rows = measured(docs)
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000)
     bands = rows.filter(~F.col("base_failed")).groupBy("lang").agg(quartiles.alias("q")).select(F.col("lang").alias("_lang"), F.col("q")[1].alias("_middle"), (F.col("q")[2] - F.col("q")[0]).alias("_spread"))
+    bands = stored(bands, "bands")  # a row a language: Spark sees how small it is, and moves no document by its language
     rows = rows.join(bands, rows.lang == F.col("_lang"), "left")
     width = F.col("_spread") * F.sqrt(F.greatest(F.lit(1.0), words / F.greatest("n_words", F.lit(1))))
     rows = rows.withColumn("low", F.col("_middle") - below * width).withColumn("high", F.col("_middle") + above * width).drop("_lang", "_middle", "_spread")

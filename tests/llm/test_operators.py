@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, bwt, charlm, mixing, quality, repeats, sharding, simhash, superkmers, toxicity, warc
+from cairn.llm import bpe, bwt, charlm, common, merkle, mixing, ngrams, quality, repeats, sharding, simhash, superkmers, toxicity, warc
 from cairn.llm.common import new_folder
 from cairn.llm.merkle import edited_next, edits, tree
 
@@ -192,6 +193,40 @@ def test_merkle(docs, empty):
     assert edited_next(empty).count() == 0
 
 
+def brute_tree(t):
+    """The sections of a text, each a list of paragraphs of leaves."""
+    cut = lambda pattern, x: [m.group() for m in re.finditer(pattern, x)] or [""]
+    clause = merkle.CLAUSE.replace(r"\z", r"\Z").replace(r"\x{4e00}-\x{5fff}", "\u4e00-\u5fff")
+    return [[cut(clause, p) for p in cut(merkle.PARAGRAPH, s)] for s in cut(merkle.SECTION.replace(r"\z", r"\Z"), t)]
+
+
+def brute_likeness(x, y):
+    """Twice what is equal by what both have, descending into what the other lacks."""
+    flat = lambda s: tuple(tuple(p) for p in s)
+    a, b = ({flat(s) for s in brute_tree(t)} for t in (x, y))
+    same = sum(len(p) for s in a & b for p in s)
+    a, b = ({p for s in u - v for p in s} for u, v in ((a, b), (b, a)))
+    same += sum(map(len, a & b))
+    a, b = ({leaf for p in u - v for leaf in p} for u, v in ((a, b), (b, a)))
+    return 1.0 if x == y else 2 * (same + len(a & b)) / (2 * same + len(a) + len(b))
+
+
+def test_merkle_likeness(spark):
+    body = [prose(60, i) + "\n" + prose(30, i + 50) + "\n \t          \n" for i in range(6)]
+    texts_ = ["".join(body), "".join(body[1:]), "".join(body[:3]) + "new. " + "".join(body[3:]), "no marks " * 90 + "here", "no marks " * 60 + "other " + "no marks " * 30, "文字" * 90, "a\n", "b\n", "a\n\n\nb\r\n\r\nc", ""]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(3)
+    for r in edited_next(docs).collect():
+        t, nx = texts_[r.doc_id], texts_[(r.doc_id + 1) % len(texts_)]
+        k = len(t) // 4
+        edited = t[: len(t) - k] + nx[:k]
+        assert r.near_edited == pytest.approx(brute_likeness(t, edited)), r.doc_id
+        assert r.near_next == pytest.approx(brute_likeness(t, nx)), r.doc_id
+        assert (r.n_edits == 0) == (t == edited)
+        assert "".join(leaf for s in brute_tree(t) for p in s for leaf in p) == t
+    got = {r.doc_id: r for r in edited_next(docs).collect()}
+    assert got[6].near_next == 0 and got[0].near_next > 0.7 and got[3].near_edited > 0.5
+
+
 def test_merkle_edits(spark):
     row = spark.createDataFrame([("a\nb\n\nc\nd. e", "a\nb\n\nc\nd. f")], "a string, b string").select(tree(F.col("a")).alias("a"), tree(F.col("b")).alias("b"))
     assert [tuple(x) for x in row.select(edits(F.col("a"), F.col("b")).alias("e")).first().e] == [(1, 1)]
@@ -274,6 +309,23 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_draws_by_weight(spark):
+    rows = [(i, "w " * 640, "abc"[i % 3]) for i in range(600)]  # 384,000 words
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.shard_counts(docs, block_words=16, shards=8, seed=3).collect()
+    target = mix_targets({s: 128_000 for s in "abc"})
+    of = {(r.shard, r.source): r.blocks for r in got}
+    for s in "abc":
+        counts = [of[k, s] for k in range(8)]
+        assert sum(counts) == -(-round(target[s]) // 16)
+        p = target[s] / sum(target.values())
+        spread = np.std(counts) / np.sqrt(4500 * p * (1 - p))
+        assert 0.3 < spread < 2.5, (s, counts)  # a draw, neither dealt evenly nor lumped
+    assert sorted(sum(of[k, s] for s in "abc") for k in range(8)) == [4494] + [4501] * 7  # as many slots each, the last what is left
+    other = {(r.shard, r.source): r.blocks for r in mixing.shard_counts(docs, block_words=16, shards=8, seed=4).collect()}
+    assert other != of
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         seen = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit("s")).alias("p")).collect()
@@ -320,6 +372,27 @@ def test_sharding(docs, empty):
     assert sharding.shuffle_into_shards(empty).count() == 0 and len(sharding.shuffle_into_shards(docs.limit(3)).collect()) == 3
 
 
+def test_sharding_rows_alike(spark):
+    rows = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.col("id").alias("slot_of"))
+    rows = rows.union(spark.range(3000).select(F.col("id") + 100, F.concat(F.lit("t"), F.col("id")), F.col("id"))).repartition(5)
+    got = sharding.shuffle_into_shards(rows, 4).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(4) for i in range(8250)]
+    assert len({(r.doc_id, r.slot_of) for r in got}) == 33_000
+    by = Counter(r.shard for r in got if r.doc_id == 7)
+    assert max(by.values()) - min(by.values()) < 700
+    again = sharding.shuffle_into_shards(rows.repartition(3), 4).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in again}
+
+
+def test_write_shards(docs, tmp_path):
+    sharding.write_shards(sharding.shuffle_into_shards(docs, 3), f"{tmp_path}/shards")
+    got = docs.sparkSession.read.parquet(f"{tmp_path}/shards")
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((r[0], r[1]) for r in ROWS)
+    for shard in range(3):
+        slots = [r.slot for r in got.filter(F.col("shard") == shard).select("slot", F.input_file_name().alias("f")).orderBy("f").collect()]
+        assert sorted(slots) == list(range(len(slots)))
+
+
 def test_fisher_yates(spark):
     rows = spark.range(1, 300).select(sharding.fisher_yates(F.lit(4), F.lit(1), F.col("id")).alias("p")).collect()
     assert all(sorted(r.p) == [0, 1, 2, 3] for r in rows) and len({tuple(r.p) for r in rows}) == 24
@@ -342,6 +415,60 @@ def test_quality(docs, empty):
     assert quality.judged(empty).count() == 0
 
 
+def brute_perplexities(texts):
+    """log2 perplexity of each text of one language, by the definition."""
+    plain = [" " * 4 + re.sub(r"[\t\n\v\f\r\xa0\u3000]", " ", re.sub("[1-9]", "0", t.lower())) for t in texts]
+    counts = {5: Counter(t[i : i + 5] for t in plain for i in range(len(t) - 4))}
+    for k in (4, 3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    drop, total, left = {}, {}, {}
+    for k, c in counts.items():
+        of = Counter(c.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5
+        d = [min(max(i - (i + 1) * y * of[i + 1] / of[i], 0.05), i - 0.05) if of[i] else 0.5 for i in (1, 2, 3)]
+        for g, n in c.items():
+            drop[k, g] = n if n < 2 and k > 1 else d[min(n, 3) - 1]
+            total[k, g[:-1]] = total.get((k, g[:-1]), 0) + n
+            left[k, g[:-1]] = left.get((k, g[:-1]), 0) + drop[k, g]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 0x110000
+        if (k, g[:-1]) not in total:
+            return p(g[1:])
+        return (counts[k][g] - drop.get((k, g), 0)) / total[k, g[:-1]] + left[k, g[:-1]] / total[k, g[:-1]] * p(g[1:])
+
+    return [sum(-np.log2(p(t[i : i + 5])) for i in range(len(t) - 4)) / max(1, len(t) - 4) for t in plain]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_perplexity(spark, monkeypatch, small):
+    if small:  # many shards, none kept
+        monkeypatch.setattr(ngrams, "SHARD", 500)
+        monkeypatch.setattr(ngrams, "KEPT", 0)
+    chinese = "".join(chr(0x4E00 + random.Random(9).randrange(9000)) for _ in range(9000))
+    of = {"en": [prose(60, i) for i in range(8)] + ["", None, "x\t9\xa0\n1"], None: [prose(30, 50), prose(30, 51)], "": [prose(30, 52)], "zh": [chinese, chinese[:50], "𝒳 " * 5]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, some in of.items() for t in some)]
+    got = {r.doc_id: r.log_perplexity for r in quality.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    want = [x for some in of.values() for x in brute_perplexities([t or "" for t in some])]
+    assert [got[i] for i in range(len(rows))] == pytest.approx(want, abs=1e-4)
+
+
+def test_every_language_and_script_has_a_band(spark):
+    rows = []
+    for j in range(36):  # more languages than any bound
+        letters = [chr(c) for c in range(0x3B1 + (j % 2) * 0x7F, 0x3B1 + (j % 2) * 0x7F + 24)]  # Greek, Cyrillic
+        r = random.Random(j)
+        lexicon = ["".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(60)]
+        rows += [(len(rows) + i, " ".join(r.choice(lexicon) for _ in range(300)), f"l{j}") for i in range(12)]
+        rows.append((len(rows), " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(300)), f"l{j}"))
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    noise = [i for i in got if i % 13 == 12]
+    assert not any(got[i].kept for i in noise) and sum(r.kept for r in got.values()) >= 0.9 * 12 * 36
+
+
 def test_kneser_ney_sums_to_one():
     code, _ = charlm.codes([prose(300, 3)])
     n = np.bincount(code, minlength=charlm.SIZE)
