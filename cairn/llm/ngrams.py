@@ -33,36 +33,43 @@ BLANK, ZERO = 32, 48
 
 def points(text: str) -> np.ndarray:
     """Code points, after so many blanks as the first n-gram needs."""
-    out = np.frombuffer((" " * (ORDER - 1) + text.lower()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    out[(out >= 9) & (out <= 13) | (out == 0xA0) | (out == 0x3000)] = BLANK
-    out[(out > ZERO) & (out < ZERO + 10)] = ZERO
-    return out
+    return np.frombuffer((" " * (ORDER - 1) + text.lower()).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def different(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The different n-grams of the texts, a row of code points each; which of them ends at each character; and where each text begins, with one more for the end."""
     parts = [points(t) for t in texts]
     lengths = np.array([len(p) for p in parts], np.int64)
-    s = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     ends = np.concatenate(([0], np.cumsum(lengths - (ORDER - 1))))
-    begin = np.cumsum(lengths) - lengths
-    start = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], lengths - (ORDER - 1))  # of each n-gram
-    if not len(start):
-        return np.zeros((0, ORDER), np.int64), start, ends
+    if not ends[-1]:
+        return np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int32), ends
+    s = np.concatenate(parts)
     seen = np.flatnonzero(np.bincount(s))
-    number = np.zeros(int(s.max()) + 1, np.int64)
-    number[seen] = np.arange(len(seen))
-    own, base = number[s], len(seen)
-    code, room = own[start], base
+    plain = seen.copy()  # what each character is read as
+    plain[(seen >= 9) & (seen <= 13) | (seen == 0xA0) | (seen == 0x3000)] = BLANK
+    plain[(seen > ZERO) & (seen < ZERO + 10)] = ZERO
+    alphabet, place = np.unique(plain, return_inverse=True)
+    number = np.zeros(int(seen[-1]) + 1, np.int32)
+    number[seen] = place
+    own, base = number[s], len(alphabet)
+    n = len(own) - ORDER + 1
+    code, room = own[:n].astype(np.int64), base
     for i in range(1, ORDER):
         if room * base >= 1 << 62:  # many characters: number what there is so far
             code = pa.array(code).dictionary_encode().indices.to_numpy().astype(np.int64)
             room = len(code)
-        code, room = code * base + own[start + i], room * base
-    which = pa.array(code).dictionary_encode().indices.to_numpy()
+        code *= base
+        code += own[i : n + i]
+        room *= base
+    begin = np.cumsum(lengths) - lengths
+    inner = np.ones(n, bool)  # n-grams that lie in one text
+    for i in range(1, ORDER):
+        inner[np.minimum(begin[1:] - i, n - 1)] = begin[1:] - i >= n
+    start = np.flatnonzero(inner)
+    which = pa.array(code[start]).dictionary_encode().indices.to_numpy()
     first = np.empty(int(which.max()) + 1, np.int64)
     first[which[::-1]] = start[::-1]
-    return s[first[:, None] + np.arange(ORDER)], which, ends
+    return alphabet[own[first[:, None] + np.arange(ORDER)]].astype(np.uint32), which, ends
 
 
 def as_text(rows: np.ndarray) -> pa.Array:
@@ -87,8 +94,8 @@ def count(docs: DataFrame) -> DataFrame:
                 n = np.bincount(which, minlength=len(rows))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), as_text(rows), pa.array(n)], names=["lang", "gram", "n"])
 
-    parts = in_arrow(docs.select("text", "lang"), run, "lang string, gram string, n long", 16 << 20)
-    return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    parts = in_arrow(docs.select("text", "lang"), run, "lang string, gram string, n long")
+    return stored(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
 
 
 def by_language(texts: list[str | None], langs: list[str]) -> dict[str, list[tuple[int, str]]]:
@@ -104,8 +111,8 @@ def kneser_ney(counted: DataFrame, least: int = 2) -> DataFrame:
     every = level
     for size in range(ORDER - 1, 0, -1):
         level = level.groupBy("lang", F.substring("gram", 2, size).alias("gram")).agg(F.count("*").alias("n")).select("lang", F.lit(size).alias("size"), "gram", "n")
+        level = stored(level, "grams")  # read by two: the union and the next order
         every = every.union(level)
-    every = stored(every, "ngrams")
     of = {i: F.count_if(F.col("n") == i).cast("double") for i in range(1, 5)}
     found = every.groupBy("lang", "size").agg(*(x.alias(f"n{i}") for i, x in of.items()))
     y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)

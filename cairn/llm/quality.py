@@ -59,7 +59,7 @@ def measured(docs: DataFrame) -> DataFrame:
             failed = (forms[:, 0] < 50) | (100 * forms[:, 4] > 50 * forms[:, 0])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(forms[:, i]) for i in range(5)), pa.array(failed), pa.array(logs)], names=["doc_id", "lang", *names, "base_failed", "log_perplexity"])
 
-    return stored(in_arrow(docs, run, "doc_id long, lang string, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, log_perplexity double", 8 << 20), "measured")
+    return stored(in_arrow(docs, run, "doc_id long, lang string, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, log_perplexity double"), "measured")
 
 
 def judged(docs: DataFrame, below: float = 2.3, above: float = 2.2, words: int = 250) -> DataFrame:
