@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fmt, terms
 from ..plans import sections as plan
+from ..plans.ranking import ranked
 from ..sources.shared import new_folder
 from . import heap
 
@@ -20,7 +22,7 @@ ETS_COUNTS = {"Objects": "objects", "Words": "words"}
 ETS_FLAGS = {"Write Concurrency": "write_concurrency", "Read Concurrency": "read_concurrency", "Compressed": "compressed", "Fixed": "fixed"}
 
 
-SECTIONS = "dump_id string, section_id long, key string, line_no long, is_header boolean, value string, kind string"
+SECTIONS = "dump_id string, section_id long, key string, line_no long, n long, is_header boolean, value string, kind string"
 
 
 def key_values(lines: DataFrame) -> DataFrame:
@@ -29,6 +31,12 @@ def key_values(lines: DataFrame) -> DataFrame:
     return lines.filter(at > 0).withColumn("k", F.substring("value", F.lit(1), at - 1)).withColumn("v", F.regexp_replace(F.substr("value", at + 2), r"^\s+|\s+$", ""))
 
 
+def keyed(lines: DataFrame) -> DataFrame:
+    """As key_values(), with k and v null for other lines, so that a section with none is still seen."""
+    at = F.instr("value", ": ")
+    return lines.withColumn("k", F.when(at > 0, F.substring("value", F.lit(1), at - 1))).withColumn("v", F.when(at > 0, F.regexp_replace(F.substr("value", at + 2), r"^\s+|\s+$", "")))
+
+
 def _last(key: str) -> Column:
     """The value of the last line with a key."""
     return F.max_by("v", F.when(F.col("k") == key, F.col("line_no")))
@@ -47,6 +55,9 @@ def _pids(text: Column) -> Column:
 
 
 class Dump:
+    #: Whether addresses are read from a table.
+    stored = False
+
     def __init__(self, lines: DataFrame):
         """lines: as read_lines() or numbered() give them."""
         self.lines = lines
@@ -63,13 +74,18 @@ class Dump:
     def section_lines(self) -> DataFrame:
         return self.all_sections.filter(~F.col("is_header")).drop("is_header")
 
+    @cached_property
+    def catalogue(self) -> DataFrame:
+        """(dump_id, section_id, kind, key, line_count, size_bytes) of text sections."""
+        return plan.catalogue(self.all_sections)
+
     @cached_property
     def addresses(self) -> DataFrame:
         return heap.store(heap.entries(self.all_sections))
 
     @cached_property
     def access(self) -> heap.Access:
-        return heap.Access(self.addresses)
+        return heap.Access(self.addresses, table=self.stored)
 
     def materialized(self) -> Dump:
         """The same dump with its sections written to the shared folder by kind, for several queries over one."""
@@ -87,32 +103,45 @@ class Dump:
     def sections(self, sort_by: str = "size") -> DataFrame:
         """The catalogue with rank: by size, largest first, by kind or by key."""
         order = {"kind": ["kind", "key"], "key": ["key", "kind"]}.get(sort_by, [F.desc("size_bytes"), "kind", "key"])
-        return plan.catalogue(self.all_sections).withColumn("rank", F.row_number().over(Window.partitionBy("dump_id").orderBy(*order, "section_id")).cast("long"))
+        return ranked(self.catalogue, *order, "section_id")
 
     def section_groups(self) -> DataFrame:
-        return plan.catalogue(self.all_sections).groupBy("dump_id", "kind").agg(F.count("*").alias("entries"), F.sum("size_bytes").alias("total_bytes")).withColumn("rank", F.row_number().over(Window.partitionBy("dump_id").orderBy(F.desc("total_bytes"), "kind")).cast("long"))
+        return self.catalogue.groupBy("dump_id", "kind").agg(F.count("*").alias("entries"), F.sum("size_bytes").alias("total_bytes")).withColumn("rank", F.row_number().over(Window.partitionBy("dump_id").orderBy(F.desc("total_bytes"), "kind")).cast("long"))
 
     def has_section(self, kind: str, key: str | None = None) -> bool:
-        return not plan.catalogue(self.all_sections).filter((F.col("kind") == kind) & F.col("key").eqNullSafe(F.lit(key))).isEmpty()
+        return not self.catalogue.filter((F.col("kind") == kind) & F.col("key").eqNullSafe(F.lit(key))).isEmpty()
 
-    def query(self, kind: str, key: str | None = None, all_keys: bool = False) -> DataFrame:
-        """(section_id, kind, key, line_no, value) of one section, the first of several with its key, in order; or of all of a kind with all_keys. Without a key, the section without one."""
+    def query(self, kind: str, key: str | None = None, all_keys: bool = False, banners: bool = False) -> DataFrame:
+        """(section_id, kind, key, line_no, value) of one section, the first of several with its key, in order; or of all of a kind with all_keys. Without a key, the section without one. banners: with a column banner, to be shown before the lines of each section."""
         rows = self.kind(kind)
         if not all_keys:
             rows = rows.filter(F.col("key").eqNullSafe(F.lit(key)))
             first = rows.groupBy("dump_id").agg(F.min("section_id").alias("section_id"))
             rows = rows.join(first, ["dump_id", "section_id"])
-        return rows.select("dump_id", "section_id", "kind", "key", "line_no", "value").orderBy("dump_id", F.col("key").asc_nulls_first(), "section_id", "line_no")
+        banner = F.concat(F.lit("=== "), F.concat_ws(":", "kind", "key"), F.lit(" ==="))
+        return rows.select("dump_id", "section_id", "kind", "key", "line_no", "value", *([banner.alias("banner")] if banners else [])).orderBy("dump_id", F.col("key").asc_nulls_first(), "section_id", "line_no")
+
+    def write_content(self, path: str, kind: str, key: str | None = None, all_keys: bool = False, banners: bool = False) -> None:
+        """The lines of query() as text files whose names are in the order of their lines."""
+        rows = self.query(kind, key, all_keys, banners)
+        if banners:
+            first = F.col("line_no") == F.min("line_no").over(Window.partitionBy("dump_id", "section_id"))
+            rows = rows.withColumn("value", F.when(first, F.concat_ws("\n", "banner", "value")).otherwise(F.col("value"))).orderBy("dump_id", F.col("key").asc_nulls_first(), "section_id", "line_no")
+        rows.select("value").write.text(path)
 
     def numbered_lines(self, rows: DataFrame) -> DataFrame:
-        """Adds n, the place of each line among those of its section that aren't empty (from 0), and total; drops empty ones."""
-        section = Window.partitionBy("dump_id", "section_id")
-        kept = rows.filter("value <> ''")
-        return kept.withColumn("n", F.row_number().over(section.orderBy("line_no")).cast("long") - 1).withColumn("total", F.count("*").over(section))
+        """Of lines with n, their place among those of their section that aren't empty, those that have one, with total."""
+        kept = rows.filter("n is not null")
+        return kept.join(kept.groupBy("dump_id", "section_id").agg(F.count("*").alias("total")), ["dump_id", "section_id"])
+
+    def paged_lines(self, rows: DataFrame, offset: int | None, limit: int | None) -> DataFrame:
+        """numbered_lines() of a page; lines are cut to it before anything else looks at them."""
+        numbered = self.numbered_lines(rows)
+        return numbered if offset is None else self.page(numbered, offset, limit)
 
     def line_page(self, kind: str, key: str | None, offset: int, limit: int) -> DataFrame:
-        rows = self.numbered_lines(self.kind(kind).filter(F.col("key").eqNullSafe(F.lit(key))))
-        return rows.filter((F.col("n") >= offset) & (F.col("n") < offset + limit)).select("dump_id", "section_id", "n", "total", "value")
+        rows = self.kind(kind).filter(F.col("key").eqNullSafe(F.lit(key)))
+        return self.paged_lines(rows, offset, limit).select("dump_id", "section_id", "n", "total", "value")
 
     def raw_process(self, pid: str) -> DataFrame:
         """The lines of a process's four sections under banners, those that there are."""
@@ -124,11 +153,9 @@ class Dump:
 
     def processes(self, q: str = "", sort_by: str = "memory", top: int | None = None) -> DataFrame:
         """Summaries with rank: by memory, largest first, or by pid as text. q keeps those that hold it, in any case, in pid, name, spawned_as or state."""
-        rows = key_values(self.kind("proc").filter("key is not null"))
+        rows = keyed(self.kind("proc").filter("key is not null"))
         wanted = [_last(k).alias(c) for k, c in {**PROCESS_TEXT, **PROCESS_COUNTS, **PROCESS_LISTS, "arity": "arity"}.items()]
         found = rows.groupBy("dump_id", "section_id", F.col("key").alias("pid")).agg(*wanted)
-        bare = self.kind("proc").filter("key is not null").select("dump_id", "section_id", F.col("key").alias("pid")).distinct()
-        found = bare.join(found, ["dump_id", "section_id", "pid"], "left")
         out = found.select("dump_id", "section_id", "pid", "name", F.coalesce("state", F.lit("")).alias("state"), "spawned_as", "spawned_by", *(_count(F.col(c)).alias(c) for c in PROCESS_COUNTS.values()), "program_counter", F.least(_count(F.col("arity")), F.lit((1 << 31) - 1)).cast("int").alias("arity"), *(_pids(F.col(c)).alias(c) for c in PROCESS_LISTS.values()))
         if q:
             wanted_text = F.lower(F.lit(q))
@@ -137,25 +164,24 @@ class Dump:
                 hit = hit | F.contains(F.lower(F.coalesce(c, F.lit(""))), wanted_text)
             out = out.filter(hit)
         order = ["pid", "section_id"] if sort_by == "pid" else [F.desc("memory"), "pid", "section_id"]
-        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("dump_id").orderBy(*order)).cast("long"))
-        return out if top is None else out.filter(F.col("rank") <= top)
+        return ranked(out, *order, top=top)
 
     def display(self, processes: DataFrame) -> DataFrame:
         """Adds display_name, short_name and the sizes as text."""
         name = F.coalesce("name", "spawned_as")
         return processes.withColumn("display_name", name).withColumn("short_name", fmt.short_name(F.coalesce(name, F.lit("-")))).withColumn("memory_text", fmt.bytes_text(F.col("memory"))).withColumn("stack_heap_bytes", fmt.words_to_bytes(F.col("stack_heap"))).withColumn("stack_heap_text", fmt.words_text(F.col("stack_heap")))
 
-    def stack(self, rows: DataFrame | None = None) -> DataFrame:
-        """(dump_id, pid, section_id, n, total, label, raw, term_text, term_json) of all stack lines, or of those given."""
+    def stack(self, rows: DataFrame | None = None, offset: int | None = None, limit: int | None = None) -> DataFrame:
+        """(dump_id, pid, section_id, n, total, label, raw, term_text, term_json) of all stack lines, of those given, or of a page of each section."""
         rows = self.kind("proc_stack") if rows is None else rows
-        rows = heap.labelled(self.numbered_lines(rows)).withColumnRenamed("key", "pid")
+        rows = heap.labelled(self.paged_lines(rows, offset, limit)).withColumnRenamed("key", "pid")
         rows = rows.withColumn("term", F.when(F.col("raw").rlike(heap.tagged(terms.STACK_TAGS)), F.col("raw")))
         return heap.decode(rows.select("dump_id", "pid", "section_id", "n", "total", "label", "raw", "term"), self.access).drop("term", "term_error")
 
-    def term_lines(self, kind: str, rows: DataFrame | None = None, compat: bool = True) -> DataFrame:
+    def term_lines(self, kind: str, rows: DataFrame | None = None, compat: bool = True, offset: int | None = None, limit: int | None = None) -> DataFrame:
         """(dump_id, pid, section_id, n, total, term_text, term_json) of dictionary or message lines; n counts raw lines, and what can't be decoded is left out."""
         rows = self.kind(kind) if rows is None else rows
-        rows = heap.labelled(self.numbered_lines(rows)).withColumnRenamed("key", "pid")
+        rows = heap.labelled(self.paged_lines(rows, offset, limit)).withColumnRenamed("key", "pid")
         term = F.when(F.col("value").startswith("H"), F.col("value")).otherwise(F.col("raw"))
         rows = rows.withColumn("term", term)
         if not compat:
@@ -170,24 +196,34 @@ class Dump:
         return rows.filter((F.col("n") >= offset) & (F.col("n") < offset + limit))
 
     def stack_page(self, pid: str, offset: int, limit: int) -> DataFrame:
-        return self._process_page("proc_stack", pid, offset, limit)
+        return self.stack(self.kind("proc_stack").filter(F.col("key") == pid), offset, limit)
 
     def dictionary_page(self, pid: str, offset: int, limit: int) -> DataFrame:
-        return self._process_page("proc_dictionary", pid, offset, limit)
+        return self.term_lines("proc_dictionary", self.kind("proc_dictionary").filter(F.col("key") == pid), offset=offset, limit=limit)
 
     def messages_page(self, pid: str, offset: int, limit: int) -> DataFrame:
-        return self._process_page("proc_messages", pid, offset, limit)
-
-    def _process_page(self, kind: str, pid: str, offset: int, limit: int) -> DataFrame:
-        """Lines are cut to the page before any term is decoded."""
-        rows = self.numbered_lines(self.kind(kind).filter(F.col("key") == pid)).filter((F.col("n") >= offset) & (F.col("n") < offset + limit))
-        rows = heap.labelled(rows).withColumnRenamed("key", "pid")
-        if kind == "proc_stack":
-            term = F.when(F.col("raw").rlike(heap.tagged(terms.STACK_TAGS)), F.col("raw"))
-        else:
-            term = F.when(F.col("value").startswith("H"), F.col("value")).otherwise(F.col("raw"))
-        out = heap.decode(rows.withColumn("term", term).select("dump_id", "pid", "section_id", "n", "total", "label", "raw", "term"), self.access)
-        return out.drop("term", "term_error") if kind == "proc_stack" else out.filter("term_text is not null").drop("term", "term_error", "label", "raw")
+        return self.term_lines("proc_messages", self.kind("proc_messages").filter(F.col("key") == pid), offset=offset, limit=limit)
+
+    def pages(self, what: str, pid: str, size: int = 1000) -> Iterator[list]:
+        """All pages of a process's `stack`, `dictionary` or `messages`, as lists of rows, one at a time. Pages go by raw lines, so one of lines that can't be decoded is empty."""
+        kind = "proc_" + what
+        rows = self.kind(kind).filter((F.col("key") == pid) & F.col("n").isNotNull())
+        total = rows.agg(F.max("n")).first()[0]
+        for offset in range(0, 0 if total is None else total + 1, max(1, size)):
+            yield getattr(self, what + "_page")(pid, offset, size).orderBy("dump_id", "section_id", "n").collect()
+
+    @staticmethod
+    def shortened(rows: DataFrame, length: int) -> DataFrame:
+        """Rows of terms, their text cut to so many characters."""
+        return rows.withColumn("term_text", fmt.truncated(F.col("term_text"), length))
+
+    @staticmethod
+    def as_json(rows: DataFrame) -> DataFrame:
+        """(json): each row as an object, nulls included; term_json as the object that it is."""
+        text = F.to_json(F.struct(*(c for c in rows.columns if c != "term_json")), {"ignoreNullFields": "false"})
+        if "term_json" not in rows.columns:
+            return rows.select(text.alias("json"))
+        return rows.select(F.concat(F.substr(text, F.lit(1), F.length(text) - 1), F.lit(',"term":'), F.coalesce("term_json", F.lit("null")), F.lit("}")).alias("json"))
 
     def details(self, pid: str | None = None) -> DataFrame:
         """Summaries with arrays stack, dictionary and messages, in order, empty where a process has none."""
@@ -236,12 +272,12 @@ class Dump:
 
     def ets(self) -> DataFrame:
         """One row a table, several of one owner kept apart, with rank by words."""
-        rows = key_values(self.kind("ets"))
+        rows = keyed(self.kind("ets"))
         wanted = [_last(k).alias(c) for k, c in {**ETS_TEXT, **ETS_COUNTS, "Buckets": "buckets", **ETS_FLAGS}.items()]
-        found = self.kind("ets").select("dump_id", "section_id", F.coalesce("key", F.lit("")).alias("owner_pid")).distinct().join(rows.groupBy("dump_id", "section_id").agg(*wanted), ["dump_id", "section_id"], "left")
+        found = rows.groupBy("dump_id", "section_id", F.coalesce("key", F.lit("")).alias("owner_pid")).agg(*wanted)
         buckets = fmt.unsigned(F.col("buckets"))
         out = found.select("dump_id", "section_id", "owner_pid", *(F.coalesce(c, F.lit("")).alias(c) for c in ETS_TEXT.values()), *(_count(F.col(c)).alias(c) for c in ETS_COUNTS.values()), buckets.cast("long").alias("buckets"), *(F.coalesce(F.col(c) == "true", F.lit(False)).alias(c) for c in ETS_FLAGS.values()))
-        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("dump_id").orderBy(F.desc("words"), "name", "owner_pid", "section_id")).cast("long"))
+        out = ranked(out, F.desc("words"), "name", "owner_pid", "section_id")
         switches = {c: F.col(c) for c in ETS_FLAGS.values()}
         return out.withColumn("flags", fmt.flags(switches)).withColumn("flag_letters", fmt.flags(switches, letters=True)).withColumn("memory_bytes", fmt.words_to_bytes(F.col("words"))).withColumn("memory_text", fmt.words_text(F.col("words"), short=True))
 

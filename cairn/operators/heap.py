@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import fmt, terms
+from ..sources.shared import ensure_checkpoints, new_folder, written
 
 #: A store of so many bytes at most is sent to every worker; a larger one is joined.
 BROADCAST_BYTES = 64 << 20
@@ -70,7 +71,10 @@ def _with(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
 class Access:
     """How decoding reaches a store: sent to every worker if it is no larger than limit, else by joins."""
 
-    def __init__(self, addresses: DataFrame, limit: int = BROADCAST_BYTES):
+    def __init__(self, addresses: DataFrame, limit: int = BROADCAST_BYTES, table: bool = False):
+        """table: addresses are read from a table; else they are written as one first, so that what makes them runs once."""
+        if not table:
+            addresses = written(addresses.select("dump_id", "addr", "blob"), "addresses")
         self.addresses, self.limit = addresses, limit
         self.sent = None
         size = addresses.agg(F.coalesce(F.sum(F.length("blob") + 80), F.lit(0))).first()[0]
@@ -96,6 +100,16 @@ def decode(lines: DataFrame, access: Access) -> DataFrame:
     return lines.mapInArrow(run, StructType([*lines.schema.fields, *FIELDS]))
 
 
+def bucketed(addresses: DataFrame) -> tuple[DataFrame, str]:
+    """The store as a table dealt to buckets by address once, so that joins with it move only the other side; and its name."""
+    spark = addresses.sparkSession
+    path = new_folder(spark, "store")
+    name = "store_" + path.rpartition("-")[2]
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    addresses.select("dump_id", "addr", "blob").repartition(buckets, "dump_id", "addr").write.option("path", path).bucketBy(buckets, "dump_id", "addr").sortBy("dump_id", "addr").saveAsTable(name)
+    return spark.table(name).hint("merge"), name
+
+
 _POINTERS = r"(?:H|Y[cs])([0-9A-Fa-f]+)"
 
 
@@ -103,8 +117,9 @@ def decode_joined(lines: DataFrame, addresses: DataFrame, every: int = 16) -> Da
     """As decode(), for a heap of any size: the entries that each line reaches are found by joins, hop by hop, and only those go to the task that decodes the line.
 
     What looks like a pointer within a string is followed too, which costs a little and changes nothing. Rounds end when no line reaches anything new, after MAX_HOPS at the latest."""
+    ensure_checkpoints(lines.sparkSession)
     lines = lines.withColumn("_line", F.monotonically_increasing_id()).checkpoint()
-    addresses = addresses.checkpoint()
+    addresses, name = bucketed(addresses)
 
     def to(text):
         return F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_POINTERS), F.lit(1)), lambda a: fmt.address(a))))
@@ -112,7 +127,7 @@ def decode_joined(lines: DataFrame, addresses: DataFrame, every: int = 16) -> Da
     frontier = lines.select("_line", "dump_id", to(F.col("term")).alias("addr")).filter("addr is not null")
     seen = None
     for hop in range(1, terms.MAX_HOPS + 2):
-        met = frontier.join(addresses.select("dump_id", "addr", "blob"), ["dump_id", "addr"]).checkpoint()
+        met = frontier.join(addresses, ["dump_id", "addr"]).checkpoint()
         if met.isEmpty():
             break
         seen = met if seen is None else seen.union(met)
@@ -122,7 +137,8 @@ def decode_joined(lines: DataFrame, addresses: DataFrame, every: int = 16) -> Da
         ahead = met.select("_line", "dump_id", to(text).alias("addr")).filter("addr is not null").distinct()
         frontier = ahead.join(seen.select("_line", "addr"), ["_line", "addr"], "left_anti")
     if seen is None:
-        seen = frontier.join(addresses.select("dump_id", "addr", "blob"), ["dump_id", "addr"])
+        seen = met
+    lines.sparkSession.sql(f"DROP TABLE {name}")
     heaps = seen.groupBy("_line").agg(F.collect_list(F.struct("addr", "blob")).alias("_heap"))
     joined = lines.join(heaps, "_line", "left")
 

@@ -14,18 +14,23 @@ ADDRESS_KINDS = ("proc_heap", "binary", "literals")
 
 
 def section_lines(lines: DataFrame) -> DataFrame:
-    """(dump_id, section_id, kind, key, line_no, is_header, value), headers included; without what stands before the first header, in sections of no kind, or behind =end. The key is null where there is none or it is empty."""
+    """(dump_id, section_id, kind, key, line_no, n, is_header, value), headers included; without what stands before the first header, in sections of no kind, or behind =end. The key is null where there is none or it is empty; n is the place of a line among those of its section that aren't empty (from 0), null for others."""
     value = F.rtrim("value", F.lit("\r\n"))
     rows = lines.select("dump_id", "block", "seq", value.alias("value"), value.startswith("=").alias("is_header"))
-    header = F.when(F.col("is_header"), F.struct(F.regexp_extract("value", HEADER, 1).alias("kind"), F.nullif(F.regexp_extract("value", HEADER, 2), F.lit("")).alias("key")))
+    rows = rows.withColumn("full", ~F.col("is_header") & (F.col("value") != ""))
     so_far = Window.partitionBy("dump_id", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("header", header)
-    local = marked.withColumn("headers", F.count_if("is_header").over(so_far)).withColumn("n", F.count("*").over(so_far)).withColumn("own", F.last("header", ignorenulls=True).over(so_far))
-    blocks = marked.groupBy("dump_id", "block").agg(F.count("*").alias("lines"), F.count_if("is_header").alias("heads"), F.max_by("header", F.when(F.col("is_header"), F.col("seq"))).alias("last"))
+    local = rows.withColumn("headers", F.count_if("is_header").over(so_far)).withColumn("at", F.count("*").over(so_far)).withColumn("filled", F.count_if("full").over(so_far))
+    header = F.when(F.col("is_header"), F.struct(F.regexp_extract("value", HEADER, 1).alias("kind"), F.nullif(F.regexp_extract("value", HEADER, 2), F.lit("")).alias("key"), F.col("filled").alias("base")))
+    marked = local.withColumn("header", header)
+    own = marked.withColumn("own", F.last("header", ignorenulls=True).over(so_far))
+    blocks = marked.groupBy("dump_id", "block").agg(F.count("*").alias("lines"), F.count_if("is_header").alias("heads"), F.count_if("full").alias("filled"), F.max_by("header", F.when(F.col("is_header"), F.col("seq"))).alias("last"))
     before = Window.partitionBy("dump_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select("dump_id", "block", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("heads").over(before), F.lit(0)).alias("heads_before"), F.last("last", ignorenulls=True).over(before).alias("carry"))
-    joined = local.join(carried, ["dump_id", "block"]).withColumn("of", F.coalesce("own", "carry"))
-    out = joined.select("dump_id", (F.col("heads_before") + F.col("headers")).alias("section_id"), "of.kind", "of.key", (F.col("lines_before") + F.col("n") - 1).alias("line_no"), "is_header", "value")
+    blocks = blocks.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("lines", "heads", "filled")})
+    last = F.when(F.col("last").isNotNull(), F.col("last").withField("base", F.col("last.base") + F.col("filled_before")))
+    carried = blocks.withColumn("last", last).select("dump_id", "block", "lines_before", "heads_before", "filled_before", F.last("last", ignorenulls=True).over(before).alias("carry"))
+    joined = own.join(carried, ["dump_id", "block"]).withColumn("of", F.coalesce(F.col("own").withField("base", F.col("own.base") + F.col("filled_before")), "carry"))
+    n = F.when(F.col("full"), F.col("filled_before") + F.col("filled") - F.col("of.base") - 1)
+    out = joined.select("dump_id", (F.col("heads_before") + F.col("headers")).alias("section_id"), "of.kind", "of.key", (F.col("lines_before") + F.col("at") - 1).alias("line_no"), n.alias("n"), "is_header", "value")
     return out.filter((F.col("section_id") > 0) & ~F.col("kind").isin("", "end") | (F.col("is_header") & (F.col("kind") == "end")))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +10,8 @@ from .dumpgen import atom, dump, encoded, hexadecimal, lines, pid, string_lines,
 from .functions import fmt
 from .operators import heap
 from .operators.dump import Dump
+from .sources.catalog import Catalog, StoredDump
+from .sources.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,15 +128,14 @@ def proc_detail_join(spark, sf_dir):
  (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus) AS n, count(*) OVER (PARTITION BY o_custkey) AS t FROM orders) WHERE n - 1 BETWEEN 2 AND 4
  UNION ALL SELECT '<0.' || o_custkey || '.0>', count(*), count(*) + 1, '0xff00', NULL FROM orders GROUP BY o_custkey HAVING count(*) BETWEEN 2 AND 4""")
 def stack_page(spark, sf_dir):
-    d = detail_dump(spark, sf_dir)
-    return d.page(d.stack(), 2, 3).select("pid", "n", "total", "label", "term_text")
+    return detail_dump(spark, sf_dir).stack(offset=2, limit=3).select("pid", "n", "total", "label", "term_text")
 
 
 @query("""SELECT '<0.' || o_custkey || '.0>' AS pid, n - 1 AS n, t AS total, CAST(o_orderkey AS VARCHAR) AS term_text FROM
  (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus) AS n, count(*) OVER (PARTITION BY o_custkey) AS t FROM orders) WHERE n - 1 BETWEEN 1 AND 5 AND o_orderkey % 3 <> 0""")
 def message_page(spark, sf_dir):
     d = detail_dump(spark, sf_dir)
-    return d.page(d.term_lines("proc_messages"), 1, 5).select("pid", "n", "total", "term_text")
+    return d.term_lines("proc_messages", offset=1, limit=5).select("pid", "n", "total", "term_text")
 
 
 @query("SELECT '<0.' || o_custkey || '.0>' AS pid, '{key,' || o_orderkey || '}' AS term_text FROM orders")
@@ -486,21 +486,139 @@ def dropped_lines(spark, sf_dir):
     return dump(early, named, none, late).section_lines.select("key", "value")
 
 
-@query()
-def catalog(spark, sf_dir):
-    """A dump file written, ingested, found again by the first digits of its fingerprint, and listed."""
-    from .sources.catalog import Catalog
-    from .sources.shared import new_folder
-
-    folder = new_folder(spark, "catalog")
-    values = process_lines(spark, sf_dir).orderBy("line_no").select("value").coalesce(1)
-    values.write.text(f"{folder}/dump")
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/dump")
+# dumps in files
+
+
+def dump_file(spark: SparkSession, values: DataFrame, codec: str | None = None) -> str:
+    """One file of ordered lines in the shared folder, and its path."""
+    folder = new_folder(spark, "dump")
+    writer = values.select("value").coalesce(1).write
+    (writer.option("compression", codec) if codec else writer).text(folder)
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
-    path = next(f.getPath().toString() for f in files if f.getPath().getName().startswith("part-"))
-    store = Catalog(spark, f"{folder}/dumps")
-    store.ingest(path, "customers")
-    dump_id = store.resolve(store.list().first().dump_id[:6])
+    return next(f.getPath().toString() for f in files if f.getPath().getName().startswith("part-"))
+
+
+def stored_documents(spark: SparkSession, sf_dir: str) -> StoredDump:
+    """The documents' dump as a gzip file, ingested and opened."""
+    d = document_dump(spark, sf_dir)
+    path = dump_file(spark, d.lines.orderBy("block", "seq"), "gzip")
+    store = Catalog(spark, new_folder(spark, "catalog"))
+    return store.open(store.ingest(path))
+
+
+@query("SELECT 'customers' AS label, true AS known, true AS listed, count(*) AS processes, false AS incomplete FROM customer")
+def catalog(spark, sf_dir):
+    """A dump file written, ingested, found again by the first digits of its fingerprint, by its path without another ingest, and listed."""
+    path = dump_file(spark, dump(process_lines(spark, sf_dir)).lines.orderBy("block", "seq"))
+    store = Catalog(spark, new_folder(spark, "catalog"))
+    dump_id = store.ingest(path, "customers")
+    known = store.resolve(dump_id[:6]) == store.resolve(path) == dump_id
     d = store.open(dump_id)
     counted = d.kind("proc").groupBy("dump_id").agg(F.count_distinct("section_id").alias("processes"))
-    return store.list().join(counted, "dump_id").select("dump_id", "label", "size", "processes")
+    return store.list().join(counted, "dump_id").join(d.overview(), "dump_id").select("label", F.lit(known).alias("known"), (F.col("size") > 0).alias("listed"), "processes", "incomplete")
+
+
+@query(ORACLE_SQL["line_page"])
+def stored_line_page(spark, sf_dir):
+    d = stored_documents(spark, sf_dir)
+    return d.paged_lines(d.kind("doc_en"), 3, 5).select(F.substring_index("key", ":", -1).cast("long").alias("doc_id"), "n", "total", "value")
+
+
+@query(ORACLE_SQL["section_catalog"])
+def stored_catalogue(spark, sf_dir):
+    return stored_documents(spark, sf_dir).sections().select("kind", "key", "line_count", "size_bytes")
+
+
+@query("SELECT lpad(lower(to_hex(p_partkey * 16)), 16, '0') AS addr, 'I' || p_size AS blob FROM part")
+def stored_addresses(spark, sf_dir):
+    path = dump_file(spark, heap_dump(spark, sf_dir).lines.orderBy("block", "seq"))
+    store = Catalog(spark, new_folder(spark, "catalog"))
+    return store.open(store.ingest(path)).addresses.filter("source = 'proc_heap'").select("addr", F.col("blob").cast("string").alias("blob"))
+
+
+@query(f"SELECT line AS value, count(*) AS times FROM ({DOC_LINES}) WHERE lang = 'fr' GROUP BY line UNION ALL SELECT '=== doc_fr:k:' || doc_id || ' ===', 1 FROM documents WHERE lang = 'fr'")
+def raw_content(spark, sf_dir):
+    """Sections written out under their banners, read again."""
+    path = new_folder(spark, "content")
+    document_dump(spark, sf_dir).write_content(path, "doc_fr", all_keys=True, banners=True)
+    return spark.read.option("lineSep", "\n").text(path).groupBy("value").agg(F.count("*").alias("times"))
+
+
+@query(f"SELECT {PID} AS pid, CAST(round(abs(c_acctbal) * 100) AS BIGINT) AS memory, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS name, '<0.' || (c_custkey + 1) || '.0>' AS link FROM customer")
+def json_rows(spark, sf_dir):
+    d = processes(spark, sf_dir)
+    return d.as_json(d.processes()).select(F.parse_json("json").alias("v")).select(*(F.variant_get("v", f"$.{c}", t).alias(c) for c, t in (("pid", "string"), ("memory", "long"), ("name", "string"))), F.variant_get("v", "$.links[0]", "string").alias("link"))
+
+
+@query("""SELECT page - 1 AS page, CAST(n AS BIGINT) AS rows, first AS first_text FROM (SELECT CAST(ceil(n / 2.0) AS BIGINT) AS page, count(*) AS n, arg_min('{key,' || o_orderkey || '}', n) AS first FROM
+ (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)) GROUP BY 1)""")
+def all_pages(spark, sf_dir):
+    """A process's dictionary to its end, two lines at a time."""
+    d = detail_dump(spark, sf_dir)
+    pid_ = f"<0.{table(spark, sf_dir, 'orders').agg(F.min('o_custkey')).first()[0]}.0>"
+    found = [(i, len(rows), rows[0].term_text) for i, rows in enumerate(d.pages("dictionary", pid_, 2))]
+    return spark.createDataFrame(found, "page long, rows long, first_text string")
+
+
+# fixed terms
+
+#: Terms as dumps write them, and how they are shown.
+TERM_FORMS = [
+    ("nil", "N", "[]"), ("negative", "I-1", "-1"), ("atom", "A2:ok", "ok"), ("upper", "A5:Hello", "'Hello'"), ("no_name", "A0:", "''"), ("word", "A2:if", "'if'"), ("dash", "A7:my-atom", "'my-atom'"),
+    ("half", "F3:0.5", "0.5"), ("large", "F4:1e22", "10000000000000000000000.0"), ("small", "F4:1e-7", "0.0000001"), ("minus", "F5:-2.25", "-2.25"), ("nan", "F3:nan", "nan"), ("exponent", "F6:1.5e+2", "150.0"),
+    ("big", "B16#1F", "16#1F"), ("big_decimal", "B123456789012345678901", "123456789012345678901"), ("pid", "P<0.1.0>", "<0.1.0>"), ("port", "p<0.5>", "#Port<0.5>"), ("dist", "D12:anything", "#DistExternal"),
+    ("string", "lI104|lI10|N", '"h\\n"'), ("quoted", "lI34|lI92|N", '"\\"\\\\"'), ("bell", "lI104|lI7|N", "[104,7]"), ("escape", "lI27|lI9|lI8|N", '"\\e\\t\\b"'), ("latin", "lI233|N", '"é"'), ("improper", "lI1|I2", "[1|2]"),
+    ("tuple", "t2:A2:ok,I1", "{ok,1}"), ("binary", "Yh5:aGVsbG8=", '<<"hello">>'), ("bytes", "Yh3:AAH/", "<<0,1,255>>"), ("empty", "Yh0:", "<<>>"),
+]
+
+
+def external_forms() -> list[tuple[str, bytes, str]]:
+    """Terms in the external format, tag by tag, and how they are shown."""
+    from struct import pack
+
+    def name(x: str) -> bytes:
+        return pack(">BB", 119, len(x)) + x.encode()
+
+    one, two, node = b"a\x01", b"a\x02", name("n@h")
+    return [
+        ("70", pack(">Bd", 70, 2.5), "2.5"), ("98", pack(">Bi", 98, -5), "-5"), ("99", b"c" + b"1.50000000000000000000e+01".ljust(31, b"\0"), "15.0"), ("100", pack(">BH", 100, 2) + b"ok", "ok"), ("115", pack(">BB", 115, 2) + b"no", "no"), ("118", pack(">BH", 118, 3) + "é_".encode(), "'é_'"),
+        ("105", pack(">BI", 105, 2) + one + two, "{1,2}"), ("107", pack(">BH", 107, 3) + b"abc", '<<"abc">>'), ("77", pack(">BIB", 77, 2, 4) + b"\1\2", "<<1,2>>"), ("108", pack(">BI", 108, 2) + one + two + b"j", "[1,2]"), ("108i", pack(">BI", 108, 1) + one + two, "[1|2]"),
+        ("110", pack(">BBB", 110, 9, 0) + (1 << 64).to_bytes(9, "little"), "16#10000000000000000"), ("111", pack(">BIB", 111, 1, 1) + b"\xff", "-16#FF"), ("116", pack(">BI", 116, 1) + one + two, "#{1 => 2}"),
+        ("88", b"X" + node + pack(">III", 1, 2, 3), "<n@h.1.2.3>"), ("103", b"g" + node + pack(">IIB", 1, 2, 3), "<n@h.1.2.3>"), ("89", b"Y" + node + pack(">II", 5, 3), "#Port<n@h.5.3>"), ("102", b"f" + node + pack(">IB", 5, 3), "#Port<n@h.5.3>"),
+        ("90", pack(">BH", 90, 2) + node + pack(">III", 3, 7, 8), "#Ref<3.7.8>"), ("114", pack(">BH", 114, 1) + node + pack(">BI", 3, 7), "#Ref<3.7>"), ("101", b"e" + node + pack(">IB", 9, 1), "#Ref<1.9>"), ("113", b"q" + name("m") + name("f") + two, "{m,f,2}"),
+        ("117", pack(">BI", 117, 0) + b"X" + node + pack(">III", 1, 2, 3) + name("m") + one + two, "#Fun<m.1.2>"),
+        ("112", b"p" + pack(">I", 4 + 25 + 3 + 4) + bytes(25) + name("m") + one + two, "#Fun<m.1.2>"),
+    ]
+
+
+def values_sql(rows: list[tuple[str, str]]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in rows) + ") AS t(key, text)"
+
+
+def fixed_terms(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "i long, k string, t string")
+    return dump(lines(df, F.col("i"), F.array(text("=probe:", F.col("k")), text("y0:", F.col("t"))))).decoded("probe").select("key", "text")
+
+
+@query(values_sql([(k, x) for k, _, x in TERM_FORMS]))
+def term_forms(spark, sf_dir):
+    return fixed_terms(spark, [(k, t) for k, t, _ in TERM_FORMS])
+
+
+@query(values_sql([(k, x) for k, _, x in external_forms()]))
+def etf_forms(spark, sf_dir):
+    import base64
+
+    return fixed_terms(spark, [(k, f"E{len(raw) + 1:x}:{base64.b64encode(bytes([131]) + raw).decode()}") for k, raw, _ in external_forms()])
+
+
+@query("""SELECT total, place, size, place > 0 AS has_prev, place + size < total AS has_next, greatest(0, place - size) AS prev_offset, place + size AS next_offset, CAST(ceil(total / size) AS BIGINT) AS total_pages, place // size AS page, least(place + 1, total) AS start, least(place + size, total) AS stop
+ FROM (SELECT CAST(p_size AS BIGINT) AS total, CAST(p_partkey % 60 AS BIGINT) AS place, CAST(p_partkey % 9 + 1 AS BIGINT) AS size FROM part WHERE p_partkey <= 100)""")
+def pager(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").filter(k <= 100).select(F.col("p_size").cast("long"), (k % 60).cast("long"), (k % 9 + 1).cast("long")).collect()
+    pages = [(t, a, s, fmt.Pager(t, a, s)) for t, a, s in rows]
+    found = [(t, a, s, p.has_prev, p.has_next, p.prev_offset, p.next_offset, p.total_pages, p.page, p.start, p.end) for t, a, s, p in pages]
+    return spark.createDataFrame(found, "total long, place long, size long, has_prev boolean, has_next boolean, prev_offset long, next_offset long, total_pages long, page long, start long, stop long")

@@ -1,4 +1,4 @@
-"""Ingested dumps: a folder for each with its lines and its address store, and a row about it.
+"""Ingested dumps: a folder for each with its lines in order of kind and key, numbered, its catalogue of sections and its address store, and a row about it.
 
 A dump's folder is named by the fingerprint of its file, so a moved or copied file is known again. The row is written last:
 a folder without one is unfinished and is never listed or read; ingesting again replaces it.
@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import ENGINE_VERSION
 from ..operators import heap
 from ..operators.dump import SECTIONS, Dump
+from ..plans import sections as plan
 from .lines import read_at, read_lines
 
 #: Fixed values of FNV-1a.
@@ -40,10 +42,13 @@ def fingerprint(spark: SparkSession, path: str) -> str:
 class StoredDump(Dump):
     """A dump that has been ingested: its sections and addresses are read from their tables."""
 
+    stored = True
+
     def __init__(self, spark: SparkSession, folder: str, dump_id: str):
         self._spark, self._folder, self.dump_id = spark, folder, dump_id
         self.all_sections = spark.read.schema(SECTIONS).parquet(f"{folder}/sections")
         self.addresses = spark.read.parquet(f"{folder}/addresses")
+        self.catalogue = spark.read.parquet(f"{folder}/catalogue")
 
     @property
     def spark(self) -> SparkSession:
@@ -71,17 +76,22 @@ class Catalog:
         fs, where = self._fs(self.folder(dump_id))
         return fs.delete(where, True)
 
-    def ingest(self, path: str, label: str | None = None) -> str:
-        """Reads a dump file into its folder, if it isn't there yet, and returns its id."""
+    def ingest(self, path: str, label: str | None = None, told: Callable[[str, dict], None] = lambda step, about: None) -> str:
+        """Reads a dump file into its folder, if it isn't there yet, and returns its id. told() hears of each step when it is done."""
         dump_id = fingerprint(self.spark, path)
+        told("fingerprint", {"dump_id": dump_id, "size": read_at(self.spark, path, [])[1]})
         if self.exists(dump_id):
             return dump_id
         self.drop(dump_id)
         folder = self.folder(dump_id)
         dump = Dump(read_lines(self.spark, {dump_id: path}))
-        dump.all_sections.repartitionByRange("kind", "key", "line_no").sortWithinPartitions("kind", "key", "line_no").write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/sections")
+        dump.all_sections.repartitionByRange("kind", "key", "line_no").sortWithinPartitions("kind", "key", "line_no").write.partitionBy("kind").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{folder}/sections")
         stored = self.spark.read.schema(SECTIONS).parquet(f"{folder}/sections")
+        told("sections", {"lines": stored.count()})
+        plan.catalogue(stored).coalesce(1).write.parquet(f"{folder}/catalogue")
+        told("catalogue", {"sections": self.spark.read.parquet(f"{folder}/catalogue").count()})
         heap.write_store(heap.store(heap.entries(stored)), f"{folder}/addresses")
+        told("addresses", {"entries": self.spark.read.parquet(f"{folder}/addresses").count()})
         name = os.path.basename(path)
         self._row(dump_id, path, name, read_at(self.spark, path, [])[1], label or name)
         return dump_id
@@ -152,7 +162,7 @@ class Jobs:
 
         def work() -> None:
             try:
-                job.dump_id = self.catalog.ingest(path, label)
+                job.dump_id = self.catalog.ingest(path, label, lambda step, about: job.events.append({"event": step, **about}))
                 job.events.append({"event": "done", "dump_id": job.dump_id})
                 job.status = "done"
             except Exception as e:  # the job's record is where it is told

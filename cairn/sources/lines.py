@@ -1,8 +1,8 @@
 """Dump files as ordered lines: (dump_id, block, seq, value).
 
 A plain file is read by Spark's text reader, split by split: block is the split's first byte and seq grows along it. A file
-that is compressed, whatever its name says, is read by the data source "dump_lines", one task a file. Codecs are told by
-the first bytes. Lines end at line feeds only. Text that is not UTF-8 is an error.
+that is compressed, whatever its name says, is read by the data source "dump_lines", one task a file, which decodes it and
+no more: its lines are dealt to blocks of 65,536 lines. Codecs are told by the first bytes. Lines end at line feeds only. Text that is not UTF-8 is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: The first bytes of compressed files.
 MAGIC = {"zstd": b"\x28\xb5\x2f\xfd", "gzip": b"\x1f\x8b", "xz": b"\xfd7zXZ\x00"}
+#: Lines of a block of a compressed file, as a power of two.
+BLOCK_BITS = 16
 SCHEMA = "dump_id string, block long, seq long, value string"
 
 
@@ -91,7 +93,7 @@ class _Reader(DataSourceReader):
     @staticmethod
     def batch(dump_id: str, seq: int, lines: list[str]) -> pa.RecordBatch:
         n = len(lines)
-        return pa.RecordBatch.from_arrays([pa.array([dump_id] * n, pa.string()), pa.array([0] * n, pa.int64()), pa.array(range(seq, seq + n), pa.int64()), pa.array(lines, pa.string())], names=["dump_id", "block", "seq", "value"])
+        return pa.RecordBatch.from_arrays([pa.array([dump_id] * n, pa.string()), pa.array([i >> BLOCK_BITS for i in range(seq, seq + n)], pa.int64()), pa.array(range(seq, seq + n), pa.int64()), pa.array(lines, pa.string())], names=["dump_id", "block", "seq", "value"])
 
 
 class DumpLines(DataSource):

@@ -196,3 +196,51 @@ def test_catalog(spark, tmp_path):
     job.thread.join()
     assert job.status == "failed" and job.events[-1]["event"] == "error"
     assert c.drop(dump_id) and c.list().count() == 0
+
+
+def test_compressed_dumps_have_blocks(spark, tmp_path):
+    text = "".join(f"=s:{i}\n" + "".join(f"{i} {j}\n" for j in range(i * 9000)) + "\n" for i in range(6)) + "=end\n"
+    (tmp_path / "d").write_bytes(gzip.compress(text.encode(), 1))
+    lines = read_lines(spark, {"d": str(tmp_path / "d")})
+    assert lines.select("block").distinct().count() == 3
+    d = Dump(lines)
+    assert {r.key: r.line_count for r in d.sections().collect()} == {str(i): i * 9000 for i in range(6)}
+    assert [(r.n, r.total, r.value) for r in d.line_page("s", "5", 44_998, 5).orderBy("n").collect()] == [(44_998, 45_000, "5 44998"), (44_999, 45_000, "5 44999")]
+    assert [r["rank"] for r in d.sections("key").orderBy("key").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_stored_dump_reads_its_tables(spark, tmp_path):
+    (tmp_path / "d").write_text(EXAMPLE)
+    told = []
+    c = Catalog(spark, str(tmp_path / "store"))
+    d = c.open(c.ingest(str(tmp_path / "d"), told=lambda step, about: told.append(step)))
+    assert told == ["fingerprint", "sections", "catalogue", "addresses"]
+    plan = d.line_page("proc_stack", "<0.1.0>", 1, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "PushedFilters" in plan
+    assert d.catalogue._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    assert [r.value for r in d.line_page("proc_stack", "<0.1.0>", 1, 1).collect()] == ["0xff:SReturn addr"]
+    assert [[r.term_text for r in page] for page in d.pages("messages", "<0.1.0>", 1)] == [['<<"hello">>'], [], ["7"]]
+    assert [r.banner for r in d.query("proc_messages", "<0.1.0>", banners=True).limit(1).collect()] == ["=== proc_messages:<0.1.0> ==="]
+    assert [r.term_text for r in d.shortened(d.stack_page("<0.1.0>", 0, 1), 4).collect()] == ["{ok…"]
+    assert '"term":{"t":"tuple"' in d.as_json(d.stack_page("<0.1.0>", 0, 1)).first().json
+
+
+def test_store_stays_where_it_is(dump):
+    store, name = heap.bucketed(dump.addresses)
+    spark = dump.spark
+    frontier = spark.createDataFrame([("d", "0" * 12 + "1000")], "dump_id string, addr string")
+    plan = frontier.join(store, ["dump_id", "addr"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan, plan
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_known_fingerprints():
+    from cairn.sources.catalog import fnv1a
+
+    assert [f"{fnv1a(x):016x}" for x in (b"", b"a", b"foobar")] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8"]
+
+
+def test_long_term_json(spark):
+    d = dump_of(spark, "=probe:a\ny0:Yh" + hex(150_000)[2:] + ":" + "AAAA" * 50_000 + "\n=end")
+    (row,) = heap.decode(heap.labelled(d.kind("probe")).withColumn("term", heap.F.col("raw")), d.access).collect()
+    assert row.term_json is None and row.term_text.startswith("<<0,0,")
