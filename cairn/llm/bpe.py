@@ -29,8 +29,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from .common import Memo, in_arrow, table
 
-#: Words, and pieces, that a worker remembers before the older ones go; it holds twice as many at most.
-MEMORY = 100_000
+#: Words, and pieces, that a worker remembers before the older ones go; it holds twice as many at most. Fewer where other stages share the machine.
+MEMORY, SHARED_MEMORY = 250_000, 100_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -196,8 +196,8 @@ class Bpe:
 
 
 @functools.lru_cache(2)
-def loaded(path: str) -> Bpe:
-    return Bpe(path)
+def loaded(path: str, memory: int = SHARED_MEMORY) -> Bpe:
+    return Bpe(path, memory)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -206,12 +206,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str | None = None, memory: int = MEMORY) -> DataFrame:
     """Per document: n_tokens, and the SHA-256 of its ids and of what they decode to."""
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(path, memory)
         for batch in batches:
             n, ids, back = [], [], []
             for text in batch.column(1).to_pylist():
@@ -224,13 +224,13 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str | None = None, decoded: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = True, memory: int = SHARED_MEMORY) -> DataFrame:
     """All columns of docs, and ids array<int> and (if asked for) decoded string, replacing columns of these names."""
     path = path or vocabulary()
     docs = docs.drop("ids", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(path, memory)
         for batch in batches:
             ids, tokens = [], []
             for text in batch.column("text").to_pylist():
