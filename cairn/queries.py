@@ -381,7 +381,7 @@ def chain_dump(spark: SparkSession, sf_dir: str, missing: bool = False) -> Dump:
 
 @query(f"SELECT CAST(l_orderkey AS VARCHAR) AS key, list AS text FROM ({CHAIN})")
 def pointer_chase(spark, sf_dir):
-    return chain_dump(spark, sf_dir).decoded("probe").select("key", "text")
+    return chain_dump(spark, sf_dir).materialized().decoded("probe").select("key", "text")
 
 
 @query(f"SELECT CAST(l_orderkey AS VARCHAR) AS key, list AS text FROM ({CHAIN})")

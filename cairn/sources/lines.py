@@ -13,10 +13,11 @@ import lzma
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .shared import file_system
+
 #: The first bytes of compressed files.
 MAGIC = {"zstd": b"\x28\xb5\x2f\xfd", "gzip": b"\x1f\x8b", "xz": b"\xfd7zXZ\x00"}
 #: Lines of a block of a compressed file, as a power of two.
@@ -30,7 +31,7 @@ def codec_of(head: bytes) -> str:
 
 def open_stream(path: str):
     """The plain bytes of a file, decoded by what its first bytes say."""
-    fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    fs, at = file_system(path)
     raw = fs.open_input_file(at)
     codec = codec_of(raw.read(6))
     raw.seek(0)

@@ -131,6 +131,43 @@ def test_joined_decoding_agrees(dump):
     assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
 
 
+def chains(spark, sizes):
+    """Dumps whose probes point to lists of so many cells, a cycle, a missing cell, an atom that looks like a pointer and two lists at once."""
+    cells = [(f"{n * 65536 + i * 16:x}", f"lI{1000 + i}|" + (f"H{n * 65536 + i * 16 + 16:x}" if i < n - 1 else "N")) for n in sizes for i in range(n)]
+    more = [("9000000", "t2:H9000010,Hdead"), ("9000010", "lI1|H9000020"), ("9000020", "lI2|H9000010"), ("9000030", "A5:H9000")]
+    probes = [f"H{n * 65536:x}" for n in sizes] + ["H9000000", "H9000010", "H9000030", "t2:H30000,Hc80000", "Hffffffffffffffffff", "I7", "Q", "Hbeef", "lH30000|Hc80000"]
+    text = "\n".join(["=probe:a", *(f"y{i}:{p}" for i, p in enumerate(probes)), "=proc_heap:b", *(f"{a}:{t}" for a, t in cells + more), "=end"])
+    rows = [(d, i, v) for d in ("d", "e") for i, v in enumerate(text.replace("I1000|", "I2000|" if d == "e" else "I1000|").split("\n"))]
+    return Dump(numbered(spark.createDataFrame(rows, "dump_id string, line_no long, value string")))
+
+
+@pytest.mark.parametrize("entries", [1, 7, 100_000])
+def test_decoding_from_block_to_block(spark, monkeypatch, entries):
+    monkeypatch.setattr(heap, "BLOCK_ENTRIES", entries)
+    d = chains(spark, (3, 127, 128, 129, 200) if entries > 1 else (3, 5)).materialized()
+    rows = heap.labelled(d.kind("probe")).withColumn("term", heap.F.when(heap.F.col("raw") != "Q", heap.F.col("raw")))
+    far = heap.Access(d.addresses, limit=0)
+    assert far.sent is None and (len(far.blocks.paths) > 10) == (entries < 100)
+    columns = ("dump_id", "line_no", "term_text", "term_json", "term_error")
+    near = heap.decode(rows, d.access).select(*columns).collect()
+    assert len(near) == 2 * rows.filter("dump_id = 'd'").count() and (entries == 1 or any("...depth limit..." in r.term_text for r in near if r.term_text))
+    assert sorted(map(str, near)) == sorted(map(str, heap.decode(rows, far).select(*columns).collect()))
+
+
+def test_stretches_of_blocks(spark, monkeypatch):
+    from cairn import dumpgen
+
+    monkeypatch.setattr(dumpgen, "STRETCH", 3)
+    monkeypatch.setattr(dumpgen, "BLOCK", 2)
+    k = heap.F.col("id")
+    some = heap.F.when(k % 4 == 0, heap.F.array(dumpgen.text("=a:", k), heap.F.lit(""), heap.F.lit("x"))).otherwise(heap.F.array(dumpgen.text("v", k), heap.F.lit("w"), heap.F.lit(""), heap.F.lit("z"), heap.F.lit("z")))
+    lines = dumpgen.dump(dumpgen.lines(spark.range(40), k, some), dumpgen.lines(spark.range(5, 30), k, some, 1)).lines
+    assert lines.select("stretch").distinct().count() > 20
+    one = [tuple(r) for r in Dump(lines).all_sections.orderBy("line_no").collect()]
+    assert one == [tuple(r) for r in Dump(lines.drop("stretch")).all_sections.orderBy("line_no").collect()]
+    assert [r[4] for r in one] == list(range(len(one))) and len(one) > 250
+
+
 def test_decoded(dump):
     assert [r.text for r in dump.decoded("proc_messages").orderBy("line_no").collect()] == ['<<"hello">>', "?", "7"]
     assert dump.decoded("proc_dictionary").orderBy("line_no").collect()[1].text == "A5:hello"
