@@ -389,7 +389,7 @@ def pointer_chase_joined(spark, sf_dir):
     from .sources.shared import ensure_checkpoints
 
     ensure_checkpoints(spark)
-    d = chain_dump(spark, sf_dir)
+    d = chain_dump(spark, sf_dir).materialized()
     rows = heap.labelled(d.kind("probe")).withColumn("term", F.col("raw"))
     return heap.decode_joined(rows, d.addresses).select("key", F.col("term_text").alias("text"))
 

@@ -154,6 +154,16 @@ def test_decoding_from_block_to_block(spark, monkeypatch, entries):
     assert sorted(map(str, near)) == sorted(map(str, heap.decode(rows, far).select(*columns).collect()))
 
 
+def test_chains_in_a_block_take_no_rounds(spark):
+    d = chains(spark, (3, 100, 200)).materialized()
+    rows = heap.labelled(d.kind("probe")).withColumn("term", heap.F.col("raw"))
+    spark.sparkContext.setJobGroup("chains", "")
+    assert heap.decode_joined(rows, d.addresses).filter("term_text is not null").count() > 10
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chains"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 30, jobs
+
+
 def test_stretches_of_blocks(spark, monkeypatch):
     from cairn import dumpgen
 
